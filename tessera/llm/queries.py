@@ -6,16 +6,33 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe
+from tessera.llm import bpe, contamination, near_duplicates, splitting
 from tessera.sources.tables import table
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.group_pairs(near_duplicates.near_groups(table(spark, sf_dir, "notes")))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splitting.split_at_boundaries(table(spark, sf_dir, "ingest_results"), "ingest_id", "transcript")
+
+
+def p5_landmarks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splitting.split_at_landmarks(table(spark, sf_dir, "ingest_results"), "ingest_id", "transcript")
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_corpus(table(spark, sf_dir, "documents"))
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    leaks = contamination.leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+    return leaks.select("doc_id", "item_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p6_ids,)}
+    return {f.__name__: f for f in (p2_found, p5_found, p5_landmarks, p6_ids, p7_found)}
 
 
 def oracle_sql() -> dict[str, str]:
