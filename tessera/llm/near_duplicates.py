@@ -203,5 +203,5 @@ def group_pairs(groups: DataFrame, slices: int = 16) -> DataFrame:
     side is spread over `slices` so that a large class is shared out among tasks.
     """
     left = groups.select("class_id", F.col("note_id").alias("left_note_id"), F.pmod(F.xxhash64("note_id"), F.lit(slices)).alias("slice"))
-    right = groups.select("class_id", F.col("note_id").alias("right_note_id"), F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).cast("bigint").alias("slice"))
+    right = groups.select("class_id", F.col("note_id").alias("right_note_id"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(slices - 1).cast("bigint"))).alias("slice"))
     return left.join(right, ["class_id", "slice"]).where("left_note_id < right_note_id").select("left_note_id", "right_note_id")
