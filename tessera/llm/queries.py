@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, contamination, near_duplicates, splitting
+from tessera.llm import bpe, contamination, near_duplicates, nearest, splitting
 from tessera.sources.tables import table
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.similar_pairs(nearest.most_similar(table(spark, sf_dir, "note_vectors")))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.group_pairs(near_duplicates.near_groups(table(spark, sf_dir, "notes")))
 
@@ -32,7 +36,7 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p5_found, p5_landmarks, p6_ids, p7_found)}
+    return {f.__name__: f for f in (p1_found, p2_found, p5_found, p5_landmarks, p6_ids, p7_found)}
 
 
 def oracle_sql() -> dict[str, str]:
