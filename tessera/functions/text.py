@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def fold_title(text: str | None) -> str | None:
@@ -16,12 +17,12 @@ def fold_title(text: str | None) -> str | None:
     return " ".join(unicodedata.normalize("NFKC", text).lower().split())
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _title_key(titles: pd.Series) -> pd.Series:
     return titles.map(fold_title, na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: t if t.isascii() else unicodedata.normalize("NFKC", t), na_action="ignore")
 
