@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, contamination, near_duplicates, nearest, splitting
+from tessera.llm import bpe, contamination, near_duplicates, nearest, splitting, transcripts
 from tessera.sources.tables import table
 
 
@@ -18,6 +18,10 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.group_pairs(near_duplicates.near_groups(table(spark, sf_dir, "notes")))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return transcripts.speaker_turns(table(spark, sf_dir, "ingest_results"), table(spark, sf_dir, "speakers"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.split_at_boundaries(table(spark, sf_dir, "ingest_results"), "ingest_id", "transcript")
 
@@ -36,7 +40,7 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p2_found, p5_found, p5_landmarks, p6_ids, p7_found)}
+    return {f.__name__: f for f in (p1_found, p2_found, p4_found, p5_found, p5_landmarks, p6_ids, p7_found)}
 
 
 def oracle_sql() -> dict[str, str]:
