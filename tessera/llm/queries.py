@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, contamination, near_duplicates, nearest, splitting, transcripts
+from tessera.llm import bpe, contamination, near_duplicates, nearest, sentences, splitting, transcripts
 from tessera.sources.tables import table
 
 
@@ -39,8 +39,12 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.select("doc_id", "item_id")
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentences.sentence_spans(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p2_found, p4_found, p5_found, p5_landmarks, p6_ids, p7_found)}
+    return {f.__name__: f for f in (p1_found, p2_found, p4_found, p5_found, p5_landmarks, p6_ids, p7_found, p8_found)}
 
 
 def oracle_sql() -> dict[str, str]:
