@@ -24,7 +24,7 @@ def json_string(text: Column) -> Column:
 
 
 def json_list(values: Column) -> Column:
-    return F.concat(F.lit("["), F.array_join(F.transform(values, json_string), ", "), F.lit("]"))
+    return F.concat(F.lit("["), F.array_join(F.transform(values, lambda v: json_string(v)), ", "), F.lit("]"))
 
 
 def claim_blocks(body: Column) -> Column:

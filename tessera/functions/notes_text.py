@@ -62,8 +62,8 @@ def page_ranges(pages: Column) -> Column:
 
 def distinct_ignoring_case(values: Column) -> Column:
     """The first spelling of each entry that is the same in lower case; trimmed, empty ones left out."""
-    clean = F.filter(F.transform(values, F.trim), lambda v: F.length(v) > 0)
-    keys = F.transform(clean, F.lower)
+    clean = F.filter(F.transform(values, lambda v: F.trim(v)), lambda v: F.length(v) > 0)
+    keys = F.transform(clean, lambda v: F.lower(v))
     return F.filter(clean, lambda v, i: F.array_position(keys, F.lower(v)) == i + 1)
 
 
@@ -97,7 +97,7 @@ def playlist_url(value: Column) -> Column:
 
 def input_kind(value: Column) -> Column:
     """text, video, playlist or queue: what an entered source is."""
-    lines = F.filter(F.transform(F.split(value, r"\r\n?|\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(value, r"\r\n?|\n"), lambda x: F.trim(x)), lambda x: x != "")
     every = F.forall(lines, lambda x: video_url(x).isNotNull())
     single = F.get(lines, F.lit(0))
     is_url = F.rlike(single, F.lit("^https?://"))
@@ -112,7 +112,7 @@ def input_kind(value: Column) -> Column:
 
 def queue_lines(value: Column) -> Column:
     """Distinct non-empty trimmed lines in order."""
-    return F.array_distinct(F.filter(F.transform(F.split(value, r"\r\n?|\n"), F.trim), lambda x: x != ""))
+    return F.array_distinct(F.filter(F.transform(F.split(value, r"\r\n?|\n"), lambda x: F.trim(x)), lambda x: x != ""))
 
 
 def decoded(content: Column) -> Column:

@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-PARTS = ("retrieval", "general_queries")
+PARTS = ("retrieval", "knowledge", "records", "general_queries")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
