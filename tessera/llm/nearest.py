@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from tessera.session import cut_lineage
 
-CURVES = 10
+CURVES = 12
 WINDOW = 4096  # rows on each side of a row's block
 BLOCK = 512
 COORDINATES = 8
