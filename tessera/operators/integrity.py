@@ -143,7 +143,7 @@ def replace_snapshot(df: DataFrame, folder: str, version: str) -> str:
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     path = jvm.org.apache.hadoop.fs.Path
     fs = path(folder).getFileSystem(conf)
-    pointer, fresh = path(f"{folder}/_CURRENT"), path(f"{folder}/_CURRENT.next")
+    pointer, fresh = path(f"{folder}/CURRENT"), path(f"{folder}/CURRENT.next")
     stream = fs.create(fresh, True)
     stream.write(bytearray(version.encode()))
     stream.close()
@@ -153,7 +153,7 @@ def replace_snapshot(df: DataFrame, folder: str, version: str) -> str:
 
 
 def current_snapshot(spark: SparkSession, folder: str) -> DataFrame:
-    version = spark.read.text(f"{folder}/_CURRENT").first()[0]
+    version = spark.read.text(f"{folder}/CURRENT").first()[0]
     return spark.read.parquet(f"{folder}/v={version}")
 
 
