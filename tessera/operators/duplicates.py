@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
+from tessera.session import cut_lineage, parallelism
 
 SAME, TITLE, BODY, GAP = 4.0, 0.88, 0.88, 0.08
 
@@ -18,25 +19,20 @@ def _keyed(notes: DataFrame, prefix: str) -> DataFrame:
     )
 
 
-def _rare_first(rows: DataFrame, frequency: DataFrame, id_col: str, array_col: str, share: float) -> DataFrame:
-    """(id, entry): the rarest entries of each set that any set at the similarity must share one of.
+def _pairs_by_sets(left: DataFrame, right: DataFrame, array: str, share: float) -> DataFrame:
+    """(l_id, r_id): a superset of the pairs in which the right set has at least `share` of the left set's entries.
 
-    share: the least part of a set's entries that a similar set shares; all but the floor(share * n) - 1 ... rarest
-    entries can be left out without losing a pair.
+    Such a right set lacks few of the left set's entries, so it has one of the rarest
+    n - ceil(share * n) + 1 of them: only these are looked up.
     """
-    entries = rows.select(id_col, F.size(array_col).alias("n"), F.explode(array_col).alias("entry")).join(frequency, "entry")
-    order = Window.partitionBy(id_col).orderBy("df", "entry")
+    posted = right.select("r_id", F.size(f"r_{array}").alias("m"), F.explode(f"r_{array}").alias("entry"))
+    mine = left.select("l_id", F.size(f"l_{array}").alias("n"), F.explode(f"l_{array}").alias("entry"))
+    frequency = posted.join(mine.select("entry").distinct(), "entry", "left_semi").groupBy("entry").agg(F.count("*").alias("df"))
+    order = Window.partitionBy("l_id").orderBy("df", "entry")
+    ranked = mine.join(frequency, "entry", "left").withColumn("df", F.coalesce("df", F.lit(0).cast("bigint"))).withColumn("r", F.row_number().over(order))
     keep = F.col("n") - F.ceil(F.col("n") * share - 1e-9) + 1
-    return entries.withColumn("r", F.row_number().over(order)).where(F.col("r") <= keep).select(id_col, "entry")
-
-
-def _pairs_by_sets(left: DataFrame, right: DataFrame, array: str, share: float) -> DataFrame:
-    """(l_id, r_id) of sets that share one of their rarest entries: a superset of the similar pairs."""
-    sets = right.select(F.explode(f"r_{array}").alias("entry")).unionByName(left.select(F.explode(f"l_{array}").alias("entry")))
-    frequency = sets.groupBy("entry").agg(F.count("*").alias("df"))
-    mine = _rare_first(left, frequency, "l_id", f"l_{array}", share)
-    other = _rare_first(right, frequency, "r_id", f"r_{array}", share)
-    return mine.join(other, "entry").select("l_id", "r_id").distinct()
+    close = F.least("n", "m") >= F.greatest("n", "m") * share - 1e-9  # similar sets are of similar size
+    return ranked.where(F.col("r") <= keep).select("l_id", "n", "entry").join(posted, "entry").where(close).select("l_id", "r_id").distinct()
 
 
 def duplicate_scores(incoming: DataFrame, existing: DataFrame) -> DataFrame:
@@ -46,13 +42,19 @@ def duplicate_scores(incoming: DataFrame, existing: DataFrame) -> DataFrame:
     from 0.88. Pairs come from equality and prefix-filter joins, never from all pairs; a Dice of t
     means that a set shares at least t / (2 - t) of its entries. A note is no duplicate of itself.
     """
-    left, right = _keyed(incoming, "l"), _keyed(existing, "r")
+    left, right = cut_lineage(_keyed(incoming, "l")), cut_lineage(_keyed(existing, "r"))
     same = left.join(right, F.col("l_key") == F.col("r_key")).select("l_id", "r_id")
     pairs = same.union(_pairs_by_sets(left, right, "grams", TITLE / (2 - TITLE))).union(_pairs_by_sets(left, right, "terms", BODY)).distinct()
-    full = pairs.where("l_id <> r_id").join(left, "l_id").join(right, "r_id")
-    titles, bodies = T.dice(F.col("l_grams"), F.col("r_grams")), T.jaccard(F.col("l_terms"), F.col("r_terms"))
-    score = F.when(F.col("l_key") == F.col("r_key"), SAME).when(titles >= TITLE, 3 + titles).when(bodies >= BODY, 2 + bodies)
-    return full.select(F.col("l_id").alias("incoming_id"), F.col("r_id").alias("existing_id"), score.alias("score")).where("score is not null")
+    # Comparing sets is much work for few bytes: a fixed number of partitions, which the planner doesn't merge.
+    full = pairs.where("l_id <> r_id").join(left, "l_id").repartition(parallelism(incoming.sparkSession), "r_id").join(right, "r_id")
+    # Shared entries once for each pair: the similarities follow from these numbers.
+    common = lambda c: F.size(F.array_intersect(f"l_{c}", f"r_{c}"))
+    sizes = full.select("l_id", "r_id", (F.col("l_key") == F.col("r_key")).alias("same"), *(f(c).alias(f"{n}_{c}") for c in ("grams", "terms") for n, f in (("c", common), ("s", lambda c: F.size(f"l_{c}") + F.size(f"r_{c}")))))
+    sizes = sizes.repartition("l_id", "r_id")
+    titles = F.when(F.col("s_grams") > 0, 2 * F.col("c_grams") / F.col("s_grams")).otherwise(0.0)
+    bodies = F.when(F.col("c_terms") > 0, F.col("c_terms") / (F.col("s_terms") - F.col("c_terms"))).otherwise(0.0)
+    score = F.when(F.col("same"), SAME).when(titles >= TITLE, 3 + titles).when(bodies >= BODY, 2 + bodies)
+    return sizes.select(F.col("l_id").alias("incoming_id"), F.col("r_id").alias("existing_id"), score.alias("score")).where("score is not null")
 
 
 def strongest_duplicate(scores: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
+from tessera.session import cut_lineage
 
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
 
@@ -66,6 +67,7 @@ def keyword_search(docs: DataFrame, query: str, id_col: str = "note_id", title_c
     )
     tfs = [f"tf{k}" for k in range(len(parts))]
     counted = counted.select(id_col, title_col, F.size("terms").alias("dl"), *(_tf(F.col("terms"), p).alias(n) for n, p in zip(tfs, parts, strict=True)))
+    counted = cut_lineage(counted)  # a few numbers for each document: the text is cut into terms once
     matched = sum((F.when(F.col(n) > 0, 1).otherwise(0) for n in tfs), F.lit(0))
     stats = counted.agg(F.count("*").alias("n"), F.sum("dl").alias("dl"), F.coalesce(F.max(matched), F.lit(0)).alias("best"), *(F.count_if(F.col(n) > 0).alias(n) for n in tfs)).first()
     if not parts or not stats["n"]:
@@ -90,16 +92,17 @@ def integration_candidates(docs: DataFrame, seeds: DataFrame, id_col: str = "not
 
     Seeds' terms are looked up in the postings, so the join is the blocking; statistics are per term.
     """
-    post = postings(docs, id_col, title_col, body_col)
-    sizes = post.groupBy(id_col).agg(F.sum("tf").alias("dl"))
-    totals = docs.select(id_col).agg(F.count("*").alias("n")).first()["n"], sizes.agg(F.sum("dl").alias("s")).first()["s"]
-    if not totals[0] or not totals[1]:
+    cut = document_terms(docs, id_col, title_col, body_col)
+    whole = cut.agg(F.count("*").alias("n"), F.sum("dl").alias("dl")).first()
+    if not whole["n"] or not whole["dl"]:
         return seeds.select("seed_id", F.lit(None).cast("bigint").alias(id_col), F.lit(0.0).alias("score"), F.lit(0).alias("position")).limit(0)
-    n, avgdl = F.lit(totals[0]), F.lit(totals[1] / totals[0])
-    wanted = seeds.select("seed_id", F.explode(F.transform(T.integration_terms(F.col("text")), T.folded)).alias("term")).distinct()
-    used = post.join(wanted.select("term").distinct(), "term", "left_semi")
+    n, avgdl = F.lit(whole["n"]), F.lit(whole["dl"] / whole["n"])
+    wanted = cut_lineage(seeds.select("seed_id", F.explode(F.transform(T.integration_terms(F.col("text")), lambda t: T.folded(t))).alias("term")).distinct())
+    # Only postings of wanted terms are kept, once: everything after reads this table.
+    hits = cut.select(id_col, "dl", F.explode("terms").alias("term")).join(wanted.select("term").distinct(), "term", "left_semi")
+    used = cut_lineage(hits.groupBy(id_col, "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl")))
     freq = used.groupBy("term").agg(F.count("*").alias("df"))
-    weighed = used.join(freq, "term").join(sizes, id_col).select("term", id_col, term_score(idf(n, F.col("df")), F.col("tf"), F.col("dl"), avgdl).alias("part"))
+    weighed = used.join(freq, "term").select("term", id_col, term_score(idf(n, F.col("df")), F.col("tf"), F.col("dl"), avgdl).alias("part"))
     scored = wanted.join(weighed, "term").groupBy("seed_id", id_col).agg(F.sum("part").alias("score"))
     order = Window.partitionBy("seed_id").orderBy(F.round("score", 9).desc(), id_col)
     return scored.withColumn("position", F.row_number().over(order)).where(F.col("position") <= limit)

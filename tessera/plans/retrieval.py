@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.operators import graph, hybrid, lexical, vectors
+from tessera.session import parallelism
 from tessera.sources.tables import table
 
 DIMS = 128
@@ -27,8 +28,9 @@ def query(sql: str | None = None):
 
 
 def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row for each note: repeats of a row are exact."""
-    return table(spark, sf_dir, "notes").where("note_id is not null").dropDuplicates(["note_id"])
+    """One row for each note: repeats of a row are exact. A fixed number of partitions keeps text work on all cores."""
+    rows = table(spark, sf_dir, "notes").where("note_id is not null")
+    return rows.repartition(parallelism(spark), "note_id").dropDuplicates(["note_id"])
 
 
 def note_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -47,3 +47,19 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise df in the shared checkpoint folder, so that a lost executor costs no recomputation."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def parallelism(spark: SparkSession, per_core: int = 3) -> int:
+    """A number of partitions that keeps all cores busy through uneven tasks."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), per_core * spark.sparkContext.defaultParallelism)
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """df for work that is heavy for its bytes: hashed over all cores if its scan has too few splits for them.
+
+    A scan of many splits stays as it is, so large inputs are not shuffled.
+    """
+    spark = df.sparkSession
+    if df._jdf.queryExecution().toRdd().getNumPartitions() >= 2 * spark.sparkContext.defaultParallelism:
+        return df
+    return df.repartition(parallelism(spark), key)
