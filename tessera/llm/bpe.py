@@ -14,6 +14,8 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.session import parallelism, spread
+
 DEFAULT_VOCAB = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The tokenizer's pattern, with white space spelt as the Unicode property for Java.
 PIECES = (
@@ -125,7 +127,7 @@ def encode_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Null and empty texts give an empty list; strings that look like special tokens are ordinary
     text. Repeated rows of an id with the same text count once. Other columns are ignored.
     """
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    rows = spread(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), "_id")
     pieces = F.regexp_extract_all(F.col("_text"), F.lit(PIECES), F.lit(0))
     # One row per document and distinct piece, with its places: a piece that fills a document stays one row.
     used = (
@@ -135,6 +137,8 @@ def encode_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         .agg(F.collect_set("_pos").alias("_places"))
     )
     words = rows.where(F.length("_text") > 0).select(F.explode(F.array_distinct(pieces)).alias("_piece")).distinct()
+    # Few bytes but much work for each: a fixed number of partitions, which the planner doesn't merge.
+    words = words.repartition(parallelism(docs.sparkSession), "_piece")
     coded = words.select("_piece", encode_piece(F.col("_piece"), vocab_path).alias("_ids"))
     placed = used.join(coded, "_piece").select("_id", F.struct("_places", "_ids").alias("_part"))
     parts = placed.groupBy("_id").agg(F.collect_list("_part").alias("_parts"))
