@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.session import cut_lineage
+from tessera.session import cut_lineage, spread
 
 FLOOR = 2e-5
 LEAST_COUNT = 4
@@ -386,6 +386,7 @@ def sentence_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     asked for: it may be null or wrong, so a text's own script and function words decide.
     """
     rows = docs.select(F.col(id_col).cast("bigint").alias("_id"), F.col(text_col).alias("_text")).where(F.length("_text") > 0)
+    rows = spread(rows, "_id")
     model = learn(corpus_counts(rows.select("_text")))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = pa.schema([("_id", pa.int64()), ("spans", pa.list_(pa.struct([("start_char", pa.int32()), ("end_char", pa.int32())])))])
