@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.words import WORD, normalised
+from tessera.session import parallelism
 
 # ---- fixed values -------------------------------------------------------------------------
 #: Sounds that mean nothing in any of the languages, and those that do so in one language only.
@@ -323,7 +324,7 @@ def speaker_turns(results: DataFrame, speakers: DataFrame) -> DataFrame:
     """
     raw = results.where((F.col("source_type") == "youtube") & (F.length("transcript") > 0) & F.col("ingest_id").isNotNull()).select("ingest_id", "transcript")
     # Copies of a row are told apart by a hash; the long text itself is carried once.
-    raw = raw.groupBy("ingest_id").agg(F.min_by("transcript", F.xxhash64("transcript")).alias("transcript"))
+    raw = raw.repartition(parallelism(results.sparkSession), "ingest_id").groupBy("ingest_id").agg(F.min_by("transcript", F.xxhash64("transcript")).alias("transcript"))
     known = speakers.where("ingest_id is not null and speaker_no is not null").groupBy("ingest_id").agg(F.array_sort(F.collect_set(F.struct("speaker_no", "full_name", "role_title"))).alias("people"))
     schema = pa.schema([("ingest_id", pa.int64()), ("seq", pa.int32()), ("time", pa.float64()), ("speaker_no", pa.int32()), ("n_words", pa.int32())])
 
