@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.words import word_hashes, words
 from tessera.operators.components import connected_components
-from tessera.session import cut_lineage
+from tessera.session import cut_lineage, spread
 
 FIRST, SECOND = 4, 12  # 64-bit words of the first bound, and of the one for what it lets through
 TILE = 32_768
@@ -59,7 +59,7 @@ def profiles(notes: DataFrame, id_col: str, title_col: str, body_col: str, min_w
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
     rows = notes.select(F.col(id_col).alias("note_id"), F.col(title_col).alias("title"), F.col(body_col).alias("body")).where("note_id is not null")
-    return rows.mapInArrow(run, PROFILE)
+    return spread(rows, "note_id").mapInArrow(run, PROFILE)
 
 
 def _bands(sizes: list[tuple[int, int]], tile: int) -> list[tuple[int, int, int, int]]:
