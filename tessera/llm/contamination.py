@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.words import word_hashes, words
+from tessera.session import spread
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
 MAX_BLOCK_SEEDS = 1_000_000
@@ -117,6 +118,7 @@ def leaked_items(
     spark = docs.sparkSession
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), *((c, pa.int32()) for c in ("tiles", "longest", "covered", "item_words"))])
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(doc_text).alias("text")).where(F.length("text") > 0)
+    rows = spread(rows, "doc_id")
 
     def scan(shared):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
