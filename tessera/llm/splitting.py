@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.session import spread
+
 #: Kinds of place, best first: after a blank line, after a line, after a sentence, after white space.
 BLANK_LINE = re.compile(r"(?<=\n)[^\S\n]*\n")
 LINE = re.compile(r"\n")
@@ -106,7 +108,7 @@ def split_texts(
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * 4, schema, strict=True)], schema=schema)
 
     long = df.select(F.col(id_col).cast("bigint").alias("_id"), F.col(text_col).alias("_text")).where(F.length("_text") > limit)
-    cuts = long.mapInArrow(run, "_id bigint, piece_no int, start_char int, end_char int")
+    cuts = spread(long, "_id").mapInArrow(run, "_id bigint, piece_no int, start_char int, end_char int")
     # Repeats of a row give the same pieces: the small result is made distinct, not the texts.
     return cuts.distinct().withColumnRenamed("_id", id_col)
 
