@@ -10,6 +10,11 @@ def squeezed(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 
 
+def stripped(text: Column) -> Column:
+    """Without white space of any kind at either end."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def plain_text(text: Column) -> Column:
     """Without Markdown images, links, page links, tags, bullets and emphasis; white space as one space."""
     for pattern, to in (
@@ -118,7 +123,7 @@ def queue_lines(value: Column) -> Column:
 def decoded(content: Column) -> Column:
     """Text of UTF-8 bytes: without a byte-order mark, line ends as \\n, trimmed; null for bad UTF-8 or no text."""
     text = F.when(F.is_valid_utf8(content.cast("string")), content.cast("string"))
-    text = F.trim(F.regexp_replace(F.regexp_replace(text, "^﻿", ""), r"\r\n?", "\n"))
+    text = stripped(F.regexp_replace(F.regexp_replace(text, "^\ufeff", ""), r"\r\n?", "\n"))
     return F.nullif(text, F.lit(""))
 
 

@@ -17,7 +17,7 @@ PdfText = Callable[[bytes], list[str]]
 
 def pasted(df: DataFrame, title_col: str, text_col: str, limit: int = 250_000) -> DataFrame:
     """Sources from pasted texts: trimmed, hashed, with a problem where empty or too long."""
-    text = F.trim(F.regexp_replace(F.col(text_col), r"\r\n?", "\n"))
+    text = X.stripped(F.regexp_replace(F.col(text_col), r"\r\n?", "\n"))
     problem = F.when(F.coalesce(F.length(text), F.lit(0)) == 0, "empty").when(F.length(text) > limit, "too_long")
     return df.select(F.sha2(text, 256).alias("content_hash"), F.trim(title_col).alias("title"), F.lit("text").alias("source_type"), text.alias("text"), problem.alias("problem"))
 

@@ -145,9 +145,9 @@ def s10_archive_by_type(spark, sf_dir):
     return sources(spark, sf_dir).groupBy("source_type").agg(F.count("*").alias("sources"), F.min("content_hash").alias("first_hash"))
 
 
-@query("WITH t AS (SELECT ingest_id, min(trim(regexp_replace(transcript, '\\r\\n?', chr(10), 'g'), ' ')) AS t, min(title) AS title FROM ingest_results WHERE transcript IS NOT NULL GROUP BY 1) SELECT sha256(t) AS content_hash, count(*) AS copies, CASE WHEN len(t) = 0 THEN 'empty' WHEN len(t) > 20000 THEN 'too_long' ELSE '' END AS problem FROM t GROUP BY 1, 3")
+@query("WITH t AS (SELECT ingest_id, min(regexp_replace(regexp_replace(transcript, '\\r\\n?', chr(10), 'g'), '^\\s+|\\s+$', '', 'g')) AS t, min(title) AS title FROM ingest_results WHERE transcript IS NOT NULL GROUP BY 1) SELECT sha256(t) AS content_hash, count(*) AS copies, CASE WHEN len(t) = 0 THEN 'empty' WHEN len(t) > 20000 THEN 'too_long' ELSE '' END AS problem FROM t GROUP BY 1, 3")
 def s1_pasted_sources(spark, sf_dir):
-    rows = table(spark, sf_dir, "ingest_results").where("transcript is not null").groupBy("ingest_id").agg(F.min(F.trim(F.regexp_replace("transcript", r"\r\n?", "\n"))).alias("transcript"), F.min("title").alias("title"))
+    rows = table(spark, sf_dir, "ingest_results").where("transcript is not null").groupBy("ingest_id").agg(F.min(X.stripped(F.regexp_replace("transcript", r"\r\n?", "\n"))).alias("transcript"), F.min("title").alias("title"))
     return ingest.pasted(rows, "title", "transcript", 20_000).groupBy("content_hash", F.coalesce("problem", F.lit("")).alias("problem")).agg(F.count("*").alias("copies"))
 
 
