@@ -25,7 +25,7 @@ from tessera.session import parallelism
 # ---- fixed values -------------------------------------------------------------------------
 #: Sounds that mean nothing in any of the languages, and those that do so in one language only.
 HESITATIONS = ("uh", "uhh", "uhhh", "uhm", "uhmm", "umm", "ummm", "erm", "ermm", "hm", "hmm", "hmmm", "mm", "mmm", "mmh", "äh", "ähh", "ähm", "ähmm", "öh", "öhm", "euh", "euhh", "euhm", "ehm")
-HESITATIONS_OF = {"en": ("um", "er", "err", "errr"), "de": (), "fr": ("heu", "hum", "hem", "beuh"), "es": ("em", "eeh"), "": ()}
+HESITATIONS_OF = {"en": ("um", "er", "err", "errr"), "de": (), "fr": ("heu", "hum", "hem", "beuh"), "es": ("em", "eeh"), "": ("um", "er", "heu", "hum")}
 #: Words of sound annotations in round brackets or between notes; square brackets always hold one.
 SOUNDS = (
     "laughter", "laughs", "laughing", "laugh", "chuckles", "cough", "coughs", "coughing", "sighs", "sigh", "applause", "music", "noise", "door closes", "door opens",
