@@ -59,7 +59,9 @@ def spread(df: DataFrame, key: str) -> DataFrame:
 
     A scan of many splits stays as it is, so large inputs are not shuffled.
     """
-    spark = df.sparkSession
-    if df._jdf.queryExecution().toRdd().getNumPartitions() >= 2 * spark.sparkContext.defaultParallelism:
+    spark, plan = df.sparkSession, df._jdf.queryExecution()
+    # A plan with shuffles would have to run before its partitions are known; only a plain scan is asked.
+    plain = not plan.executedPlan().nodeName().startswith("AdaptiveSparkPlan")
+    if plain and plan.toRdd().getNumPartitions() >= 2 * spark.sparkContext.defaultParallelism:
         return df
     return df.repartition(parallelism(spark), key)
