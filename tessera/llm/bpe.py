@@ -100,25 +100,33 @@ def encode_piece(piece: Column, vocab_path: str = DEFAULT_VOCAB) -> Column:
     def pair(a: Column, b: Column) -> Column:
         return F.shiftleft(a.cast("bigint"), ID_BITS).bitwiseOR(b.cast("bigint"))
 
-    latin = F.decode(F.encode(piece, "UTF-8"), "ISO-8859-1")
-    start = F.transform(F.filter(F.split(latin, ""), lambda c: c != ""), lambda c: F.element_at(byte_ids, F.ascii(c) + 1))
-    pairs = F.when(F.size(start) < 2, F.array().cast("array<bigint>")).otherwise(
-        F.zip_with(F.slice(start, 1, F.size(start) - 1), F.slice(start, 2, F.size(start) - 1), pair)
-    )
-    zero = F.struct(start.alias("ids"), F.transform(pairs, merged).alias("next"))
+    def fold(start: Column) -> Column:
+        """The ids of a piece from those of its bytes."""
+        pairs = F.zip_with(F.slice(start, 1, F.size(start) - 1), F.slice(start, 2, F.size(start) - 1), pair)
+        zero = F.struct(start.alias("ids"), F.transform(pairs, merged).alias("next"))
+        return F.aggregate(F.sequence(F.lit(2), F.size(start)), zero, step, lambda s: s["ids"])
 
     def step(state: Column, _: Column) -> Column:
-        ids, nxt = state["ids"], state["next"]
-        low = F.array_min(nxt)
-        at = F.array_position(nxt, low).cast("int")
-        before = F.when(at > 1, F.array(pair(F.element_at(ids, F.greatest(at - 1, F.lit(1))), low))).otherwise(F.array().cast("array<bigint>"))
-        after = F.when(at < F.size(nxt), F.array(pair(low, F.get(ids, at + 1)))).otherwise(F.array().cast("array<bigint>"))
+        return _let(F.array_min(state["next"]), lambda low: F.when(F.coalesce(low, none) == none, state).otherwise(merge(state, low)))
+
+    def merge(state: Column, low: Column) -> Column:
+        return _let(F.array_position(state["next"], low).cast("int"), lambda at: merge_at(state["ids"], state["next"], low, at))
+
+    def merge_at(ids: Column, nxt: Column, low: Column, at: Column) -> Column:
+        """The pair at `at` becomes the id `low`; only the pairs beside it are looked up again."""
+        around = F.array_compact(F.array(F.when(at > 1, pair(F.get(ids, at - 2), low)), pair(low, F.get(ids, at + 1))))
         new_ids = F.concat(F.slice(ids, 1, at - 1), F.array(low), F.slice(ids, at + 2, F.size(ids)))
-        new_next = F.concat(F.slice(nxt, 1, F.greatest(at - 2, F.lit(0))), F.transform(F.concat(before, after), merged), F.slice(nxt, at + 2, F.size(nxt)))
-        return F.when((F.size(nxt) == 0) | (low == none), state).otherwise(F.struct(new_ids.alias("ids"), new_next.alias("next")))
+        new_next = F.concat(F.slice(nxt, 1, F.greatest(at - 2, F.lit(0))), F.transform(around, merged), F.slice(nxt, at + 2, F.size(nxt)))
+        return F.struct(new_ids.alias("ids"), new_next.alias("next"))
+
+    latin = F.decode(F.encode(piece, "UTF-8"), "ISO-8859-1")
+    start = F.transform(F.filter(F.split(latin, ""), lambda c: c != ""), lambda c: F.element_at(byte_ids, F.ascii(c) + 1))
+    return _let(start, lambda ids: F.when(F.size(ids) < 2, ids).otherwise(fold(ids)))
+
 
-    rounds = F.when(F.size(start) < 2, F.array().cast("array<int>")).otherwise(F.sequence(F.lit(2), F.size(start)))
-    return F.aggregate(rounds, zero, step, lambda s: s["ids"])
+def _let(value: Column, use) -> Column:
+    """use(value) with the value evaluated once: Spark evaluates an expression anew at each place in a lambda."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def encode_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab_path: str = DEFAULT_VOCAB) -> DataFrame:
