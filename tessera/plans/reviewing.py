@@ -83,7 +83,7 @@ def a17_review_summary(spark, sf_dir):
 
 @query("WITH p AS (SELECT DISTINCT note_id, source_id, action FROM note_sources WHERE note_id IS NOT NULL AND source_id IS NOT NULL AND note_id % 2 = 0) SELECT note_id, source_id, action FROM p WHERE source_id % 5 <> 0 UNION ALL SELECT DISTINCT note_id, source_id, 'merge' FROM p WHERE source_id % 5 = 0")
 def i16_attach_provenance(spark, sf_dir):
-    rows = table(spark, sf_dir, "note_sources").where("note_id is not null and source_id is not null and note_id % 2 = 0").select("note_id", "source_id", "action").distinct()
+    rows = table(spark, sf_dir, "note_sources").where("note_id is not null and source_id is not null").select("note_id", "source_id", "action").distinct()
     return ingest.attached(rows, rows.where("source_id % 5 = 0").withColumn("action", F.lit("merge")))
 
 
