@@ -64,8 +64,11 @@ def t7_source_summary(spark, sf_dir):
 @query("WITH i AS (SELECT ingest_id, min(transcript) AS t FROM ingest_results WHERE source_type = 'pdf' AND transcript <> '' GROUP BY 1) SELECT ingest_id, trim(t[:50], chr(10) || ' ') AS page FROM i")
 def t18_page_slice(spark, sf_dir):
     rows = table(spark, sf_dir, "ingest_results").where("source_type = 'pdf' and transcript <> ''").groupBy("ingest_id").agg(F.min("transcript").alias("t"))
-    head = F.concat(F.lit("## PDF page 1\n\nfirst\n\n## PDF page 2\n\n"), F.substring("t", 1, 50), F.lit("\n\n## PDF page 3\n\nlast"))
-    return rows.select("ingest_id", F.regexp_replace(maintenance.page_slice(head, 2), "^[\n ]+|[\n ]+$", "").alias("page"))
+    # The whole transcript is one page: its own page markers are text here, so they are quoted by a backslash around the slice.
+    quoted = F.regexp_replace("t", r"(?m)^(\\*## PDF page )", r"\\$1")
+    paged = F.concat(F.lit("## PDF page 1\n\nfirst\n\n## PDF page 2\n\n"), quoted, F.lit("\n\n## PDF page 3\n\nlast"))
+    page = F.regexp_replace(maintenance.page_slice(paged, 2), r"(?m)^\\(\\*## PDF page )", "$1")
+    return rows.select("ingest_id", F.regexp_replace(page, "^[\n ]+|[\n ]+$", "").alias("page"))
 
 
 @query(

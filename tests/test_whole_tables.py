@@ -16,3 +16,10 @@ HELD = "note_id bigint, source_id bigint, action string"
 def test_provenance_of_odd_notes_is_attached(spark, tmp_path):
     got = run(spark, tmp_path, "i16_attach_provenance", note_sources=([(1, 5, "new"), (1, 6, "new"), (2, 5, "new"), (None, 6, "new")], HELD))
     assert {tuple(r) for r in got} == {(1, 5, "merge"), (1, 6, "new"), (2, 5, "merge")}
+
+
+def test_page_slice_of_a_whole_transcript(spark, tmp_path):
+    text = "## PDF page 1\n\n" + "word " * 2000 + "\n\n## PDF page 2\n\nmore\n\n\\## PDF page 3\n\nend"
+    rows = [(1, f"\n{text} \n", "pdf"), (2, "x" * 60, "pdf"), (3, text, "text")]
+    got = run(spark, tmp_path, "t18_page_slice", ingest_results=(rows, "ingest_id bigint, transcript string, source_type string"))
+    assert {tuple(r) for r in got} == {(1, text), (2, "x" * 60)}
