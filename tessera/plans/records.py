@@ -196,7 +196,7 @@ def m3_parse_round_trip(spark, sf_dir):
 @query(f"WITH {N} SELECT type, count(*) AS pages, sha256(string_agg('- [[' || title || ']] — ' || {squeezed_sql('body')}[:20], chr(10) ORDER BY lower(title), note_id)) AS section FROM n WHERE title IS NOT NULL AND body <> '' AND type IN ('concept', 'entity', 'synthesis') GROUP BY type")
 def m9_index(spark, sf_dir):
     rows = notes(spark, sf_dir).where("title is not null and body <> '' and type in ('concept', 'entity', 'synthesis')")
-    line = F.concat(F.lit("- "), M.page_link(F.col("title")), F.lit(" — "), F.substring(X.squeezed(F.col("body")), 1, 20))
+    line = F.concat(F.lit("- "), M.page_link(F.col("title")), F.lit(" — "), X.index_line(F.col("body")))
     entries = rows.select("type", F.struct(F.lower("title").alias("k"), "note_id", line.alias("line")).alias("e")).groupBy("type").agg(F.count("*").alias("pages"), F.array_sort(F.collect_list("e")).alias("es"))
     return entries.select("type", "pages", F.sha2(F.array_join(F.transform("es", lambda e: e["line"]), "\n"), 256).alias("section"))
 

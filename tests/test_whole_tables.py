@@ -1,5 +1,7 @@
 """Registered queries take whole tables: small tables with rows that a subset would leave out."""
 
+import hashlib
+
 import __spark_entry__ as entry
 
 
@@ -23,3 +25,13 @@ def test_page_slice_of_a_whole_transcript(spark, tmp_path):
     rows = [(1, f"\n{text} \n", "pdf"), (2, "x" * 60, "pdf"), (3, text, "text")]
     got = run(spark, tmp_path, "t18_page_slice", ingest_results=(rows, "ingest_id bigint, transcript string, source_type string"))
     assert {tuple(r) for r in got} == {(1, text), (2, "x" * 60)}
+
+
+NOTES = "note_id bigint, title string, type string, body string"
+
+
+def test_index_lines_hold_the_summary(spark, tmp_path):
+    rows = [(1, "B", "concept", "b " * 150), (2, "a", "concept", "Short  enough to be kept\nwhole"), (3, "C", "entity", "")]
+    got = run(spark, tmp_path, "m9_index", notes=(rows, NOTES))
+    section = "- [[a]] — Short enough to be kept whole\n- [[B]] — " + ("b " * 99)[:197].rstrip() + "…"
+    assert [tuple(r) for r in got] == [("concept", 2, hashlib.sha256(section.encode()).hexdigest())]
