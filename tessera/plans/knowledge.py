@@ -150,7 +150,8 @@ def d7_decisions(spark, sf_dir):
     of = pairs(spark, sf_dir).groupBy(F.col("r_id").alias("incoming_id")).agg(F.min("l_id").alias("low"))
     kind = F.col("incoming_id") % 3
     decisions = of.select("incoming_id", F.when(kind == 0, "new").when(kind == 1, "merge").otherwise("contradict").alias("action"), F.when(kind > 0, F.col("low")).alias("existing_id"))
-    found = duplicates.strongest_duplicate(duplicates.duplicate_scores(incoming(base), base))
+    decided = base.join(decisions.select(F.col("incoming_id").alias("note_id")), "note_id", "left_semi")
+    found = duplicates.strongest_duplicate(duplicates.duplicate_scores(decided, base))
     return duplicates.safeguarded(decisions, found, base)
 
 

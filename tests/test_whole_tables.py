@@ -35,3 +35,9 @@ def test_index_lines_hold_the_summary(spark, tmp_path):
     got = run(spark, tmp_path, "m9_index", notes=(rows, NOTES))
     section = "- [[a]] — Short enough to be kept whole\n- [[B]] — " + ("b " * 99)[:197].rstrip() + "…"
     assert [tuple(r) for r in got] == [("concept", 2, hashlib.sha256(section.encode()).hexdigest())]
+
+
+def test_every_decided_note_is_safeguarded(spark, tmp_path):
+    rows = [(1, "Length of stay", "concept", "Plain"), (2, "Something else", "concept", "Other"), (3, "Length of stay", "concept", "Words")]
+    got = run(spark, tmp_path, "d7_decisions", notes=(rows, NOTES), links=([(2, 3)], "source_note_id bigint, target_note_id bigint"))
+    assert [tuple(r) for r in got] == [(3, "merge", 1)]
