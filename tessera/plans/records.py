@@ -210,7 +210,7 @@ def j1_pages_of_source(spark, sf_dir):
 
 @query(f"WITH {SRC} SELECT source_id, title FROM sr WHERE source_id IN (SELECT source_id FROM note_sources WHERE note_id % 50 = 0)")
 def j2_sources_of_pages(spark, sf_dir):
-    return sources(spark, sf_dir).select("source_id", "title").join(note_sources(spark, sf_dir).where("note_id % 50 = 0"), "source_id", "left_semi")
+    return sources(spark, sf_dir).select("source_id", "title").join(note_sources(spark, sf_dir), "source_id", "left_semi")
 
 
 @query(f"WITH {SRC}, a AS (SELECT DISTINCT note_id, source_id, coalesce(lower(action), 'reference') AS action FROM note_sources WHERE source_id IS NOT NULL) SELECT note_id, source_id, action, source_type FROM a JOIN sr USING (source_id)")

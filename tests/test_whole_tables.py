@@ -41,3 +41,9 @@ def test_every_decided_note_is_safeguarded(spark, tmp_path):
     rows = [(1, "Length of stay", "concept", "Plain"), (2, "Something else", "concept", "Other"), (3, "Length of stay", "concept", "Words")]
     got = run(spark, tmp_path, "d7_decisions", notes=(rows, NOTES), links=([(2, 3)], "source_note_id bigint, target_note_id bigint"))
     assert [tuple(r) for r in got] == [(3, "merge", 1)]
+
+
+def test_sources_of_any_page(spark, tmp_path):
+    sources = ([(5, "A"), (6, "B"), (7, "C")], "source_id bigint, title string")
+    got = run(spark, tmp_path, "j2_sources_of_pages", sources=sources, note_sources=([(1, 5, "new"), (50, 6, "new"), (2, None, "new")], HELD))
+    assert {tuple(r) for r in got} == {(5, "A"), (6, "B")}
