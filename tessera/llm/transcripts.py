@@ -294,11 +294,12 @@ def pieces(transcript: str, people: People) -> list[tuple[float | None, int, str
             spoken(text, time)
         return [(t, who, " ".join(text)) for t, who, text in turns]
     body = [x for x in (_clean_line(line) for line in lines) if x]
-    head = body[: max(40, len(body) // 4)]
-    leading = sum(bool(LEADING.match(x)) for x in head)
-    inner = sum(bool((m := INNER.match(x)) and people.who(m[1]) is not None) for x in head)
-    headers = sum(bool((m := HEADER.match(x)) and people.who(m[1]) is not None) for x in head)
-    if 2 * leading < len(head):  # a paragraph may begin with a time of day
+    head = max(40, len(body) // 4)
+    stamped = [bool(LEADING.match(x)) for x in body]
+    leading = sum(stamped)
+    inner = sum(bool((m := INNER.match(x)) and people.who(m[1]) is not None) for x in body)
+    headers = sum(bool((m := HEADER.match(x)) and people.who(m[1]) is not None) for x in body)
+    if 2 * leading < len(body) and 2 * sum(stamped[:head]) < len(body[:head]):  # a paragraph may begin with a time of day
         leading = 0
     top = max(leading, inner, headers)
     for line in body:

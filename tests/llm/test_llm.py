@@ -343,3 +343,9 @@ def test_everything_together_is_registered():
 
     assert {"p1_found", "p2_found", "p4_found", "p5_found", "p6_ids", "p7_found", "p8_found"} <= set(queries.queries())
     assert math.isclose(near_duplicates.radius(np.array([100]), np.array([100]), 0.7)[0], 200 * 0.3 / 1.7, rel_tol=1e-6)
+
+
+def test_times_after_a_long_introduction(spark):
+    intro = "\n".join(["words before the"] * 45)
+    timed = [f"0:{n:02} {who}: said the" for n, who in zip(range(1, 51), ["Ada", "Ben"] * 25, strict=True)]
+    assert turns(spark, "\n".join([intro, timed[0], *reversed(timed[1:])])) == [(0, 135), *[(1, 2), (2, 2)] * 25]
