@@ -9,10 +9,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tessera.functions.validation import PAGE_TYPES
+
 HASH = "[a-f0-9]{64}"
 SOURCE_MARKER = rf"<!-- [a-z]+-source:({HASH}) -->"
 CLAIM_MARKER = rf"<!-- [a-z]+-claim:({HASH}(?:,{HASH})*) -->"
-SECTIONS = (("entity", "Entities"), ("concept", "Concepts"), ("synthesis", "Syntheses"))  # fixed values: page types and their headings
 
 
 def page_link(title: Column) -> Column:
@@ -60,7 +61,7 @@ def parsed_page(markdown: Column) -> Column:
     field = lambda name: F.regexp_extract(front, rf"(?m)^{name}: (.*)$", 1)
     listed = lambda name: F.from_json(field(name), "array<string>")
     title = F.get_json_object(F.concat(F.lit('{"t":'), field("title"), F.lit("}")), "$.t")
-    good = (front != "") & (heading != "") & (title == heading) & field("type").isin(*(k for k, _ in SECTIONS))
+    good = (front != "") & (heading != "") & (title == heading) & field("type").isin(*PAGE_TYPES)
     return F.when(good, F.struct(title.alias("title"), field("type").alias("type"), listed("tags").alias("tags"), listed("links").alias("links"), F.trim(F.regexp_replace(body, r"^\s+|\s+$", "")).alias("body")))
 
 

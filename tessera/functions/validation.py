@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+import json
+import pkgutil
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Page and relationship types and the limits of a page.
-PAGE_TYPES = ("concept", "entity", "synthesis")
+#: The types of a page, their headings in the index, and the type of a saved answer: data of the page model, in page_types.json.
+_TYPES = json.loads(pkgutil.get_data(__name__, "page_types.json"))
+PAGE_TYPES = tuple(t["type"] for t in _TYPES)
+HEADINGS = {t["type"]: t["heading"] for t in _TYPES}
+ANSWER_TYPE = next(t["type"] for t in _TYPES if t["holds_answers"])
+PAGE_TYPES_SQL = "(" + ", ".join(f"'{t}'" for t in PAGE_TYPES) + ")"
+#: Relationship types and the limits of a page.
 RELATIONSHIP_TYPES = (
     "consolidation_candidate", "supports", "contradicts", "mechanistic", "causal_hypothesis", "temporal", "depends_on", "analogous", "shared_constraint", "research_gap",
 )

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
+from tessera.session import cut_lineage
 
 MIN_SEMANTIC, MIN_LEXICAL, BODY_WEIGHT = 0.5, 0.12, 0.65
 NEAREST, PER_PAGE, LEXICAL = 64, 8, 16
@@ -40,9 +45,10 @@ def candidates(nearest: DataFrame, lexical_hits: DataFrame, notes: DataFrame, so
     """(left_id, right_id, score, lexical, semantic) of pairs worth a review.
 
     nearest(left_id, right_id, similarity, position) has each seed's nearest 64; lexical_hits(seed_id,
-    note_id). Of the nearest that are eligible each seed keeps 8 (by rank: the set-based form of a
-    greedy quota); lexical hits have no quota. Pairs sharing a source, known pairs (excluded: l, r) and
-    pairs under both thresholds drop out; the best score of a pair counts.
+    note_id). Pairs sharing a source, known pairs (excluded: l, r) and pairs under both thresholds drop
+    out first; of a seed's nearest that are left, the 8 nearest stay. Lexical hits have no quota. The
+    best score of a pair counts. (A pair that an earlier seed has added counts towards a later seed's
+    quota here; so the result doesn't depend on the order of seeds.)
     """
     eligible = sources.select(F.col("note_id").alias("id")).distinct()
     sem = nearest.select(F.col("left_id").alias("l_id"), F.col("right_id").alias("r_id"), F.col("similarity").alias("semantic"), "position")
@@ -50,17 +56,21 @@ def candidates(nearest: DataFrame, lexical_hits: DataFrame, notes: DataFrame, so
     pairs = sem.unionByName(lex).where("l_id <> r_id")
     for side in ("l_id", "r_id"):
         pairs = pairs.join(eligible.withColumnRenamed("id", side), side, "left_semi")
+    known = excluded.select(F.least("l", "r").alias("x"), F.greatest("l", "r").alias("y")).distinct()
+    pairs = cut_lineage(pairs.join(known, (F.least("l_id", "r_id") == F.col("x")) & (F.greatest("l_id", "r_id") == F.col("y")), "left_anti"))
     # Only the nominated pairs' own sources are compared: the pair is the key, so a large source is no hot key.
-    mine = pairs.select("l_id", "r_id").distinct().join(sources.select(F.col("note_id").alias("l_id"), "source_id"), "l_id")
+    named = pairs.select("l_id", "r_id").distinct()
+    mine = named.join(sources.select(F.col("note_id").alias("l_id"), "source_id"), "l_id")
     overlap = mine.join(sources.select(F.col("note_id").alias("r_id"), "source_id"), ["r_id", "source_id"], "left_semi").select("l_id", "r_id").distinct()
-    apart = pairs.join(overlap, ["l_id", "r_id"], "left_anti")
+    # Each pair is compared once, in one direction, and only pages that a pair names are tokenised.
+    apart = named.join(overlap, ["l_id", "r_id"], "left_anti").select(F.least("l_id", "r_id").alias("l_id"), F.greatest("l_id", "r_id").alias("r_id")).distinct()
+    wanted = apart.select(F.explode(F.array("l_id", "r_id")).alias("note_id")).distinct()
+    alike = pair_similarity(apart, notes.join(wanted, "note_id", "left_semi")).select(F.col("l_id").alias("x"), F.col("r_id").alias("y"), "lexical")
+    scored = pairs.join(alike, (F.least("l_id", "r_id") == F.col("x")) & (F.greatest("l_id", "r_id") == F.col("y"))).drop("x", "y")
+    passed = scored.where((F.coalesce("semantic", F.lit(0.0)) >= MIN_SEMANTIC) | (F.col("lexical") >= MIN_LEXICAL))
     order = Window.partitionBy("l_id").orderBy("position")
-    near = apart.where("semantic is not null").withColumn("n", F.row_number().over(order)).where(F.col("n") <= PER_PAGE).drop("n")
-    open_pairs = near.unionByName(apart.where("semantic is null")).join(
-        excluded.select(F.least("l", "r").alias("x"), F.greatest("l", "r").alias("y")).distinct(), (F.least("l_id", "r_id") == F.col("x")) & (F.greatest("l_id", "r_id") == F.col("y")), "left_anti"
-    )
-    scored = pair_similarity(open_pairs, notes)
-    strong = scored.where((F.coalesce("semantic", F.lit(0.0)) >= MIN_SEMANTIC) | (F.col("lexical") >= MIN_LEXICAL))
+    near = passed.where("semantic is not null").withColumn("n", F.row_number().over(order)).where(F.col("n") <= PER_PAGE).drop("n")
+    strong = near.unionByName(passed.where("semantic is null"))
     score = F.least(F.lit(1.0), F.greatest(F.coalesce(F.greatest("semantic", F.lit(0.0)), F.lit(0.0)), F.col("lexical")))
     keyed = strong.select(F.least("l_id", "r_id").alias("left_id"), F.greatest("l_id", "r_id").alias("right_id"), score.alias("score"), "lexical", "semantic")
     return keyed.groupBy("left_id", "right_id").agg(F.max(F.struct("score", "semantic", "lexical")).alias("b")).select("left_id", "right_id", "b.score", "b.lexical", "b.semantic")
@@ -74,16 +84,29 @@ def fingerprint(prompt: str, model: str, left_id: Column, left_hash: Column, rig
     return F.sha2(F.concat(F.lit(f'{{"promptVersion":"{prompt}","model":"{model}","left":'), a, F.lit(',"right":'), b, F.lit("}")), 256)
 
 
-def snapshot_hash(hashes: DataFrame) -> DataFrame:
-    """(snapshot_hash): SHA-256 of the hashes of all pages in id order.
+def snapshot_hash(hashes: DataFrame, block: int = 1000) -> DataFrame:
+    """(snapshot_hash): SHA-256 of the JSON list [[id,"hash"],...] of all pages in id order; of [] for no page.
 
-    Pages are hashed in blocks of 1000 ids first and the block hashes then, so that no task holds
-    the whole list.
+    Blocks of ids are written as text in parallel. SHA-256 itself is sequential, so one task reads the
+    blocks in order as a stream; it holds one Arrow batch at a time and sorting may spill.
     """
-    block = F.floor(F.col("note_id") / 1000).alias("block")
     entry = F.concat(F.lit("["), F.col("note_id").cast("string"), F.lit(',"'), F.col("evidence_hash"), F.lit('"]'))
-    parts = hashes.groupBy(block).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("note_id", entry.alias("e")))), lambda x: x["e"]), ","), 256).alias("h"))
-    return parts.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "h"))), lambda x: x["h"]), ","), 256).alias("snapshot_hash"))
+    blocks = hashes.groupBy(F.floor(F.col("note_id") / block).alias("block")).agg(F.array_sort(F.collect_list(F.struct("note_id", entry.alias("e")))).alias("es"))
+    texts = blocks.select("block", F.array_join(F.transform("es", lambda x: x["e"]), ",").alias("text"))
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state, first = hashlib.sha256(b"["), True
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                if text is not None:
+                    state.update(("" if first else ",").encode() + text.encode())
+                    first = False
+        state.update(b"]")
+        yield pa.RecordBatch.from_arrays([pa.array([state.hexdigest()])], names=["snapshot_hash"])
+
+    # A row without text, so that the list of no page has a hash too.
+    start = hashes.sparkSession.range(1).select(F.lit(None).cast("bigint").alias("block"), F.lit(None).cast("string").alias("text"))
+    return texts.unionByName(start).repartition(1).sortWithinPartitions("block").select("text").mapInArrow(digest, "snapshot_hash string")
 
 
 def restage(stored: DataFrame, fresh: DataFrame, generation: int) -> DataFrame:
@@ -139,3 +162,13 @@ def stale(discoveries: DataFrame, hashes: DataFrame) -> DataFrame:
     """(id, changed): how many of a discovery's pages are gone or no longer have the stored hash."""
     entries = discoveries.select("id", F.posexplode("page_ids").alias("pos", "note_id"), "page_hashes").select("id", "note_id", F.get("page_hashes", F.col("pos")).alias("stored"))
     return entries.join(hashes, "note_id", "left").groupBy("id").agg(F.count_if(~F.coalesce(F.col("stored") == F.col("evidence_hash"), F.lit(False))).alias("changed"))
+
+
+def hydrated(discoveries: DataFrame, notes: DataFrame, primary: DataFrame) -> DataFrame:
+    """(id, pages, sources) of discoveries(id, page_ids): each page's id and title in id order, and the number of primary sources.
+
+    primary(note_id, primary_source). A discovery names few pages, so its list is bounded; unknown pages are left out, null titles are empty.
+    """
+    pages = discoveries.select("id", F.explode("page_ids").alias("note_id"))
+    rows = pages.join(notes.select("note_id", F.coalesce("title", F.lit("")).alias("title")), "note_id").join(primary, "note_id", "left")
+    return rows.groupBy("id").agg(F.array_sort(F.collect_set(F.struct("note_id", "title"))).alias("pages"), F.countDistinct("primary_source").alias("sources"))

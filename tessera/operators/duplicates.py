@@ -85,9 +85,10 @@ def safeguarded(decisions: DataFrame, duplicates: DataFrame, notes: DataFrame) -
 
 
 def keep_first(df: DataFrame, key: str, *order: str) -> DataFrame:
-    """df with the first row of each key, and `copies`: identical content is stored once."""
-    w = Window.partitionBy(key)
-    return df.withColumn("_n", F.row_number().over(w.orderBy(*order))).withColumn("copies", F.count("*").over(w)).where("_n = 1").drop("_n")
+    """df with the first row of each key, and `copies`: identical content is stored once. Aggregated before the shuffle, so a key may be hot."""
+    rest = [c for c in df.columns if c != key]
+    first = F.min_by(F.struct(*rest), F.struct(*order, F.xxhash64(*rest).alias("_tie")))
+    return df.groupBy(key).agg(first.alias("_r"), F.count("*").alias("copies")).select(*(F.col(c) if c == key else F.col(f"_r.{c}").alias(c) for c in df.columns), "copies")
 
 
 def first_of_each(df: DataFrame, key: str, id_col: str) -> DataFrame:

@@ -7,9 +7,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.operators.ranking import ranked
+
 
 def first_applied(history: DataFrame) -> DataFrame:
     """(source_hash, archived_at): the earliest time at which each source was applied."""
@@ -197,5 +199,5 @@ def logged_hashes(spark: SparkSession, path: str) -> DataFrame:
 
 
 def numbered(df: DataFrame, name: str, *order: str) -> DataFrame:
-    """df with stable ids from 1 in the given order; for small state tables."""
-    return df.withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("bigint"))
+    """df with stable ids from 1 in the given order."""
+    return ranked(df, [], [F.col(c) for c in order], name)

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.validation import PAGE_TYPES
+
 #: The order of severities.
 SEVERITY = {"error": 0, "warning": 1, "info": 2}
 
@@ -28,13 +30,13 @@ def unreadable(pages: DataFrame) -> DataFrame:
     return _issue(pages.where("body is null"), "unreadable_page", "error")
 
 
-def legacy_format(pages: DataFrame, types: tuple[str, ...] = ("concept", "entity", "synthesis")) -> DataFrame:
+def legacy_format(pages: DataFrame, types: tuple[str, ...] = PAGE_TYPES) -> DataFrame:
     """Readable pages outside the page format: no text, no title or an unknown type."""
     bad = (F.col("body") == "") | F.col("title").isNull() | ~F.coalesce(F.col("type").isin(*types), F.lit(False))
     return _issue(pages.where(F.col("body").isNotNull() & bad), "legacy_format", "warning")
 
 
-def parseable(pages: DataFrame, types: tuple[str, ...] = ("concept", "entity", "synthesis")) -> DataFrame:
+def parseable(pages: DataFrame, types: tuple[str, ...] = PAGE_TYPES) -> DataFrame:
     return pages.where(F.col("body").isNotNull() & (F.col("body") != "") & F.col("title").isNotNull() & F.col("type").isin(*types))
 
 

@@ -6,7 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import notes_text as X
+from tessera.functions.markdown import page_link
+from tessera.functions.validation import ANSWER_TYPE, HEADINGS, PAGE_TYPES
 from tessera.operators import graph
+from tessera.operators.ranking import ranked
 
 SMALL = 24
 
@@ -119,7 +122,7 @@ def saved_answer(notes: DataFrame, provenance: DataFrame, note_id: int, title: s
     if not notes.where(F.lower("title") == title.lower()).isEmpty():
         raise ValueError("a page has this title")
     links = [r["title"] for r in notes.where(F.col("note_id").isin(*cited)).orderBy("note_id").select("title").collect()]  # the cited pages, at most a dozen
-    row = notes.sparkSession.createDataFrame([(note_id, title, "synthesis", body, links)], "note_id bigint, title string, type string, body string, links array<string>")
+    row = notes.sparkSession.createDataFrame([(note_id, title, ANSWER_TYPE, body, links)], "note_id bigint, title string, type string, body string, links array<string>")
     page = row.select(*(F.col(c) if c in row.columns else F.lit(None).cast(notes.schema[c].dataType).alias(c) for c in notes.columns))
     inherited = provenance.where(F.col("note_id").isin(*cited)).select("source_id").distinct().select(F.lit(note_id).cast("bigint").alias("note_id"), "source_id", F.lit("reference").alias("action"))
     return notes.unionByName(page), provenance.select("note_id", "source_id", "action").unionByName(inherited)
@@ -153,3 +156,50 @@ def portable_path(path: Column) -> Column:
     """A stored path relative to its vault: what follows the last notes/ or sources/ folder; others stay."""
     found = F.regexp_extract(F.replace(path, F.lit("\\"), F.lit("/")), r"^(?:.*/)?((?:notes|sources)/.+)$", 1)
     return F.when(found != "", found).otherwise(path)
+
+
+def index_lines(notes: DataFrame) -> DataFrame:
+    """(section, heading, position, line): the page index, a row for each complete page, to be written in the order of section and position.
+
+    Sections follow the page types' order; within one, titles are ordered by base letters (case and accents
+    don't count), then by id. The line names the page and the one-line summary of its text. Nothing is
+    gathered in one task, however many pages a section has.
+    """
+    pages = notes.where(F.col("title").isNotNull() & (F.col("body") != "") & F.col("type").isin(*PAGE_TYPES))
+    pick = lambda values: F.element_at(F.create_map(*(F.lit(x) for pair in values for x in pair)), F.col("type"))
+    rows = pages.select(
+        pick([(t, i) for i, t in enumerate(PAGE_TYPES, 1)]).alias("section"), pick([(t, f"## {h}") for t, h in HEADINGS.items()]).alias("heading"), "note_id",
+        F.collate(F.col("title"), "UNICODE_CI_AI").alias("letters"), F.concat(F.lit("- "), page_link(F.col("title")), F.lit(" — "), X.index_line(F.col("body"))).alias("line"),
+    )
+    return ranked(rows, ["section"], [F.col("letters"), F.col("note_id")]).select("section", "heading", "position", "line")
+
+
+def pages_of_sources(provenance: DataFrame, notes: DataFrame) -> DataFrame:
+    """(source_id, note_id, title, created_at, position): the pages of each source in the order of creation; one source may hold a large part of them."""
+    joined = provenance.join(notes.select("note_id", "title", "created_at"), "note_id").select("source_id", "note_id", "title", "created_at")
+    return ranked(joined, ["source_id"], [F.col("created_at"), F.col("note_id")])
+
+
+def primary_sources(cited: DataFrame, sources: DataFrame) -> DataFrame:
+    """(note_id, primary_source): the source of the first hash that a page names.
+
+    cited(note_id, place, content_hash): the hashes of a page in order of place; sources(source_id,
+    content_hash): of several with one hash the lowest id counts. Pages without a known hash give no row.
+    """
+    first = cited.groupBy("note_id").agg(F.min_by("content_hash", "place").alias("content_hash"))
+    by_hash = sources.groupBy("content_hash").agg(F.min("source_id").alias("primary_source"))
+    return first.join(by_hash, "content_hash").select("note_id", "primary_source")
+
+
+def log_lines(entries: DataFrame, changes: DataFrame, key: str, operation: str) -> DataFrame:
+    """(key, line_no, line): log entries as lines, a header, the source's hash, then a line for each change in page order.
+
+    entries(key, at, subject, content_hash), changes(key, note_id, action, type, title). An entry may
+    have any number of changes: lines are numbered without gathering them.
+    """
+    one, two = F.lit(1).cast("bigint"), F.lit(2).cast("bigint")
+    head = entries.select(key, one.alias("line_no"), F.concat(F.lit("## ["), F.date_format("at", "yyyy-MM-dd'T'HH:mm:ss"), F.lit(f"Z] {operation} | "), "subject").alias("line"))
+    digest = entries.select(key, two.alias("line_no"), F.concat(F.lit("- Source SHA-256: `"), "content_hash", F.lit("`")).alias("line"))
+    rows = changes.select(key, "note_id", F.concat(F.lit("- "), "action", F.lit(" "), "type", F.lit(": "), page_link(F.col("title"))).alias("line"))
+    body = ranked(rows, [key], [F.col("note_id")], "at").select(key, (F.col("at") + 2).alias("line_no"), "line")
+    return head.unionByName(digest).unionByName(body)

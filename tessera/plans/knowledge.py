@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
+from tessera.functions.validation import PAGE_TYPES_SQL
 from tessera.operators import discovery, duplicates, graph, lexical, lint, vectors
 from tessera.plans.retrieval import GE, NS, N, V, _rounded, edges, note_sources, note_vectors, notes, seeds, sql_candidates
 from tessera.sources.tables import table
@@ -87,12 +88,17 @@ def d3_title_dice(spark, sf_dir):
     return _rounded(both.select("l_id", "r_id", F.when(F.col("lk") == F.col("rk"), 1.0).otherwise(T.dice(F.col("lg"), F.col("rg"))).alias("similarity")), "similarity")
 
 
-DS = f"""ds AS (SELECT l.note_id AS incoming_id, r.note_id AS existing_id, CASE WHEN l.key = r.key THEN 4 WHEN {dice_sql('l.g', 'r.g')} >= 0.88 THEN 3 + {dice_sql('l.g', 'r.g')} WHEN {jaccard_sql('l.b', 'r.b')} >= 0.88 THEN 2 + {jaccard_sql('l.b', 'r.b')} END AS score
-  FROM kd l JOIN kd r ON l.note_id <> r.note_id WHERE l.note_id % 50 = 0),
+def duplicates_sql(incoming: str) -> str:
+    """CTEs ds (scores) and sd (the strongest duplicate) of the incoming notes that a condition on l names."""
+    return f"""ds AS (SELECT l.note_id AS incoming_id, r.note_id AS existing_id, CASE WHEN l.key = r.key THEN 4 WHEN {dice_sql('l.g', 'r.g')} >= 0.88 THEN 3 + {dice_sql('l.g', 'r.g')} WHEN {jaccard_sql('l.b', 'r.b')} >= 0.88 THEN 2 + {jaccard_sql('l.b', 'r.b')} END AS score
+  FROM kd l JOIN kd r ON l.note_id <> r.note_id WHERE {incoming}),
   rk AS (SELECT *, row_number() OVER w AS p, lead(score) OVER w AS second FROM ds WHERE score IS NOT NULL WINDOW w AS (PARTITION BY incoming_id ORDER BY score DESC, existing_id)),
   sd AS (SELECT incoming_id, existing_id, score FROM rk WHERE p = 1 AND (score >= 4 OR second IS NULL OR score - second >= 0.08))"""
 
 
+DS = duplicates_sql("l.note_id % 50 = 0")
+
+
 def incoming(all_notes: DataFrame) -> DataFrame:
     return all_notes.where("note_id % 50 = 0")
 
@@ -140,7 +146,7 @@ DEC = "dc AS (SELECT r_id AS incoming_id, CASE r_id % 3 WHEN 0 THEN 'new' WHEN 1
 
 
 @query(
-    f"""WITH {N}, {KD}, {DS}, {CONFLICT}, {PAIRS}, {DEC}, jn AS (SELECT dc.incoming_id, action, sd.existing_id AS dup, coalesce(sd.existing_id, dc.existing_id) AS target FROM dc LEFT JOIN sd USING (incoming_id)),
+    f"""WITH {N}, {KD}, {PAIRS}, {DEC}, {duplicates_sql("l.note_id IN (SELECT incoming_id FROM dc)")}, {CONFLICT}, jn AS (SELECT dc.incoming_id, action, sd.existing_id AS dup, coalesce(sd.existing_id, dc.existing_id) AS target FROM dc LEFT JOIN sd USING (incoming_id)),
   cf AS (SELECT jn.*, coalesce({conflict_sql('o', 'w')}, false) AS conflict FROM jn LEFT JOIN nb w ON w.note_id = incoming_id LEFT JOIN nb o ON o.note_id = target),
   ac AS (SELECT incoming_id, target, CASE WHEN dup IS NOT NULL THEN CASE WHEN conflict OR action = 'contradict' THEN 'contradict' ELSE 'merge' END WHEN action = 'merge' AND conflict THEN 'contradict' ELSE action END AS action FROM cf)
   SELECT incoming_id, action, CASE WHEN action <> 'new' THEN target END AS existing_id FROM ac"""
@@ -182,8 +188,7 @@ def c1_evidence_hash(spark, sf_dir):
 
 
 @query(
-    f"""WITH {N}, {NS}, {EV}, b AS (SELECT note_id // 1000 AS block, sha256(string_agg('[' || note_id || ',"' || evidence_hash || '"]', ',' ORDER BY note_id)) AS h FROM ev GROUP BY 1)
-  SELECT sha256(string_agg(h, ',' ORDER BY block)) AS snapshot_hash FROM b"""
+    f"""WITH {N}, {NS}, {EV} SELECT sha256('[' || string_agg('[' || note_id || ',"' || evidence_hash || '"]', ',' ORDER BY note_id) || ']') AS snapshot_hash FROM ev"""
 )
 def a20_snapshot_hash(spark, sf_dir):
     return discovery.snapshot_hash(hashes(spark, sf_dir))
@@ -272,10 +277,11 @@ def c16_stale(spark, sf_dir):
   nn AS (SELECT l.id AS l_id, r.id AS r_id, list_cosine_similarity(l.v, r.v) AS s, row_number() OVER (PARTITION BY l.id ORDER BY round(list_cosine_similarity(l.v, r.v), 12) DESC, r.id) AS p FROM v l JOIN v r ON l.id <> r.id WHERE l.id % 50 = 0),
   ca AS (SELECT l_id, r_id, s AS semantic, p FROM nn WHERE p <= 63 UNION ALL SELECT seed_id, note_id, NULL, 0 FROM ic WHERE seed_id <> note_id),
   ap AS (SELECT * FROM ca WHERE l_id IN (SELECT note_id FROM ns) AND r_id IN (SELECT note_id FROM ns) AND NOT EXISTS (SELECT 1 FROM ns x JOIN ns y USING (source_id) WHERE x.note_id = l_id AND y.note_id = r_id)),
-  q AS (SELECT l_id, r_id, semantic FROM ap WHERE semantic IS NOT NULL QUALIFY row_number() OVER (PARTITION BY l_id ORDER BY p) <= 8 UNION ALL SELECT l_id, r_id, semantic FROM ap WHERE semantic IS NULL),
-  o AS (SELECT l_id, r_id, semantic FROM q WHERE NOT EXISTS (FROM ex WHERE source = least(l_id, r_id) AND target = greatest(l_id, r_id))),
-  sc AS (SELECT least(l_id, r_id) AS left_id, greatest(l_id, r_id) AS right_id, semantic, greatest({jaccard_sql('l.tt', 'r.tt')}, 0.65 * {jaccard_sql('l.tb', 'r.tb')}) AS lexical FROM o JOIN tk l ON l_id = l.note_id JOIN tk r ON r_id = r.note_id)
-  SELECT left_id, right_id, round(max(least(1, greatest(coalesce(greatest(semantic, 0), 0), lexical))), 6)::DOUBLE AS score FROM sc WHERE coalesce(semantic, 0) >= 0.5 OR lexical >= 0.12 GROUP BY 1, 2"""
+  o AS (SELECT * FROM ap WHERE NOT EXISTS (FROM ex WHERE source = least(l_id, r_id) AND target = greatest(l_id, r_id))),
+  sc AS (SELECT l_id, r_id, semantic, p, greatest({jaccard_sql('l.tt', 'r.tt')}, 0.65 * {jaccard_sql('l.tb', 'r.tb')}) AS lexical FROM o JOIN tk l ON l_id = l.note_id JOIN tk r ON r_id = r.note_id),
+  ok AS (SELECT * FROM sc WHERE coalesce(semantic, 0) >= 0.5 OR lexical >= 0.12),
+  q AS (SELECT * FROM ok WHERE semantic IS NOT NULL QUALIFY row_number() OVER (PARTITION BY l_id ORDER BY p) <= 8 UNION ALL SELECT * FROM ok WHERE semantic IS NULL)
+  SELECT least(l_id, r_id) AS left_id, greatest(l_id, r_id) AS right_id, round(max(least(1, greatest(coalesce(greatest(semantic, 0), 0), lexical))), 6)::DOUBLE AS score FROM q GROUP BY 1, 2"""
 )
 def c4_candidates(spark, sf_dir):
     base, rows = notes(spark, sf_dir), note_vectors(spark, sf_dir)
@@ -310,7 +316,7 @@ def proj5_open_reviews(spark, sf_dir):
 
 
 # ---- lint -----------------------------------------------------------------------------------
-PG = "ac AS (SELECT DISTINCT note_id, source_id, action FROM note_sources WHERE source_id IS NOT NULL), ok AS (SELECT * FROM n WHERE body IS NOT NULL AND body <> '' AND title IS NOT NULL AND type IN ('concept', 'entity', 'synthesis')), oc AS (SELECT note_id, title, unnest(links) AS link FROM ok)"
+PG = f"ac AS (SELECT DISTINCT note_id, source_id, action FROM note_sources WHERE source_id IS NOT NULL), ok AS (SELECT * FROM n WHERE body IS NOT NULL AND body <> '' AND title IS NOT NULL AND type IN {PAGE_TYPES_SQL}), oc AS (SELECT note_id, title, unnest(links) AS link FROM ok)"
 LINT = {
     "l1_missing_provenance": "SELECT 'missing_provenance' AS code, 'warning' AS severity, note_id AS page_id, title AS page_title, NULL::VARCHAR AS related_title FROM n WHERE note_id NOT IN (SELECT note_id FROM ac)",
     "l2_recorded_contradiction": "SELECT 'recorded_contradiction' AS code, 'info' AS severity, note_id AS page_id, title AS page_title, NULL::VARCHAR AS related_title FROM n WHERE note_id IN (SELECT note_id FROM ac WHERE action = 'contradict')",

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from tessera.functions import markdown as M
 from tessera.functions import notes_text as X
-from tessera.operators import chunking, duplicates, integrity
+from tessera.functions.validation import HEADINGS, PAGE_TYPES, PAGE_TYPES_SQL
+from tessera.operators import chunking, duplicates, integrity, maintenance
+from tessera.operators.ranking import ranked
 from tessera.plans.knowledge import DEC, PAIRS, pairs
 from tessera.plans.retrieval import NS, N, note_sources, notes
 from tessera.sources.tables import table
@@ -69,8 +71,8 @@ def t10_evidence_preview(spark, sf_dir):
 @query(f"WITH {N}, s AS (SELECT note_id, substr(regexp_replace(regexp_replace(lower(title), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 80) AS slug FROM n WHERE title IS NOT NULL) SELECT note_id, slug || CASE WHEN row_number() OVER (PARTITION BY slug ORDER BY note_id) > 1 THEN '-' || row_number() OVER (PARTITION BY slug ORDER BY note_id) ELSE '' END AS slug FROM s")
 def t8_slug(spark, sf_dir):
     rows = notes(spark, sf_dir).where("title is not null").select("note_id", X.slug(F.col("title")).alias("slug"))
-    nth = F.row_number().over(Window.partitionBy("slug").orderBy("note_id"))
-    return rows.withColumn("n", nth).select("note_id", F.when(F.col("n") > 1, F.concat_ws("-", "slug", F.col("n").cast("string"))).otherwise(F.col("slug")).alias("slug"))
+    nth = ranked(rows, ["slug"], [F.col("note_id")], "n")
+    return nth.select("note_id", F.when(F.col("n") > 1, F.concat_ws("-", "slug", F.col("n").cast("string"))).otherwise(F.col("slug")).alias("slug"))
 
 
 @query(f"WITH {D}, p AS (SELECT doc_id, {squeezed_sql('text')} AS t FROM d) SELECT doc_id, CASE WHEN len(t) > 200 THEN rtrim(substr(t, 1, 197), ' ') || '…' ELSE t END AS line FROM p")
@@ -180,35 +182,37 @@ def m7_claim_blocks(spark, sf_dir):
     return rows.select("note_id", F.size("c").cast("bigint").alias("claims"), F.array_join("c", "|").alias("text"))
 
 
-@query(f"WITH {N}, {NS}, {SRC}, h AS (SELECT note_id, count(DISTINCT content_hash) AS c FROM ns JOIN sr USING (source_id) GROUP BY 1) SELECT n.note_id, unnest({_CLAIMS}) AS claim, coalesce(c, 0) AS sources FROM (SELECT * REPLACE (regexp_replace(body, '\\r\\n?', chr(10), 'g') AS body) FROM n) n LEFT JOIN h USING (note_id) WHERE title IS NOT NULL AND body <> '' AND type IN ('concept', 'entity', 'synthesis')")
+@query(f"WITH {N}, {NS}, {SRC}, h AS (SELECT note_id, count(DISTINCT content_hash) AS c FROM ns JOIN sr USING (source_id) GROUP BY 1) SELECT n.note_id, unnest({_CLAIMS}) AS claim, coalesce(c, 0) AS sources FROM (SELECT * REPLACE (regexp_replace(body, '\\r\\n?', chr(10), 'g') AS body) FROM n) n LEFT JOIN h USING (note_id) WHERE title IS NOT NULL AND body <> '' AND type IN {PAGE_TYPES_SQL}")
 def m8_claim_citations(spark, sf_dir):
-    pages = rendered(spark, sf_dir).join(notes(spark, sf_dir).where("type in ('concept', 'entity', 'synthesis')").select("note_id"), "note_id", "left_semi")
+    pages = rendered(spark, sf_dir).join(notes(spark, sf_dir).where(F.col("type").isin(*PAGE_TYPES)).select("note_id"), "note_id", "left_semi")
     claims = pages.select("note_id", F.explode(M.claim_citations(F.col("markdown"))).alias("c"))
     return claims.select("note_id", F.col("c.text").alias("claim"), F.size(F.filter("c.hashes", lambda h: h != "")).cast("bigint").alias("sources"))
 
 
-@query(f"WITH {N} SELECT note_id, title, type, len({_CLEAN.format('links')}) AS links FROM n WHERE title IS NOT NULL AND body <> '' AND type IN ('concept', 'entity', 'synthesis')")
+@query(f"WITH {N} SELECT note_id, title, type, len({_CLEAN.format('links')}) AS links FROM n WHERE title IS NOT NULL AND body <> '' AND type IN {PAGE_TYPES_SQL}")
 def m3_parse_round_trip(spark, sf_dir):
     parsed = rendered(spark, sf_dir).select("note_id", M.parsed_page(F.col("markdown")).alias("p")).where("p is not null")
     return parsed.select("note_id", "p.title", "p.type", F.size("p.links").cast("bigint").alias("links"))
 
 
-@query(f"WITH {N} SELECT type, count(*) AS pages, sha256(string_agg('- [[' || title || ']] — ' || {squeezed_sql('body')}[:20], chr(10) ORDER BY lower(title), note_id)) AS section FROM n WHERE title IS NOT NULL AND body <> '' AND type IN ('concept', 'entity', 'synthesis') GROUP BY type")
+@query(
+    f"""WITH {N}, p AS (SELECT note_id, title, type, {squeezed_sql('body')} AS t FROM n WHERE title IS NOT NULL AND body <> '' AND type IN {PAGE_TYPES_SQL})
+  SELECT CASE type {' '.join(f"WHEN '{t}' THEN '## {h}'" for t, h in HEADINGS.items())} END AS heading, count(*) OVER (PARTITION BY type) AS pages,
+    '- [[' || title || ']] — ' || CASE WHEN len(t) > 200 THEN rtrim(substr(t, 1, 197), ' ') || '…' ELSE t END AS line FROM p"""
+)
 def m9_index(spark, sf_dir):
-    rows = notes(spark, sf_dir).where("title is not null and body <> '' and type in ('concept', 'entity', 'synthesis')")
-    line = F.concat(F.lit("- "), M.page_link(F.col("title")), F.lit(" — "), X.index_line(F.col("body")))
-    entries = rows.select("type", F.struct(F.lower("title").alias("k"), "note_id", line.alias("line")).alias("e")).groupBy("type").agg(F.count("*").alias("pages"), F.array_sort(F.collect_list("e")).alias("es"))
-    return entries.select("type", "pages", F.sha2(F.array_join(F.transform("es", lambda e: e["line"]), "\n"), 256).alias("section"))
+    # The order of titles is that of a collation which SQL lacks: a test checks positions.
+    lines = maintenance.index_lines(notes(spark, sf_dir))
+    return lines.join(lines.groupBy("heading").agg(F.max("position").alias("pages")), "heading").select("heading", "pages", "line")
 
 
 # ---- joins and provenance -------------------------------------------------------------------
 @query(f"WITH {N}, {NS} SELECT source_id, note_id, title, row_number() OVER (PARTITION BY source_id ORDER BY created_at, note_id)::INT AS position FROM ns JOIN n USING (note_id)")
 def j1_pages_of_source(spark, sf_dir):
-    joined = note_sources(spark, sf_dir).join(notes(spark, sf_dir).select("note_id", "title", "created_at"), "note_id")
-    return joined.select("source_id", "note_id", "title", F.row_number().over(Window.partitionBy("source_id").orderBy("created_at", "note_id")).alias("position"))
+    return maintenance.pages_of_sources(note_sources(spark, sf_dir), notes(spark, sf_dir)).select("source_id", "note_id", "title", F.col("position").cast("int").alias("position"))
 
 
-@query(f"WITH {SRC} SELECT source_id, title FROM sr WHERE source_id IN (SELECT source_id FROM note_sources WHERE note_id % 50 = 0)")
+@query(f"WITH {SRC} SELECT source_id, title FROM sr WHERE source_id IN (SELECT source_id FROM note_sources WHERE note_id IS NOT NULL)")
 def j2_sources_of_pages(spark, sf_dir):
     return sources(spark, sf_dir).select("source_id", "title").join(note_sources(spark, sf_dir), "source_id", "left_semi")
 
@@ -219,9 +223,22 @@ def j3_provenance(spark, sf_dir):
     return acts.join(sources(spark, sf_dir).select("source_id", "source_type"), "source_id")
 
 
-@query(f"WITH {NS} SELECT note_id, min(source_id) AS primary_source FROM ns GROUP BY 1")
+# A page names its sources in the order in which they were attached; of several sources with one hash the lowest id counts.
+FIRST_SOURCE = f"""ao AS (SELECT note_id, source_id, min(attached_at) AS t0 FROM note_sources WHERE note_id IS NOT NULL AND source_id IS NOT NULL GROUP BY 1, 2), hs AS (SELECT content_hash, min(source_id) AS primary_source FROM sr GROUP BY 1),
+  fh AS (SELECT note_id, content_hash FROM ao JOIN sr USING (source_id) QUALIFY row_number() OVER (PARTITION BY note_id ORDER BY t0, source_id) = 1), fs AS (SELECT note_id, primary_source FROM fh JOIN hs USING (content_hash))"""
+
+
+def primary_sources(spark, sf_dir) -> DataFrame:
+    """(note_id, primary_source): the source of the first hash that a page names."""
+    order = table(spark, sf_dir, "note_sources").where("note_id is not null and source_id is not null").groupBy("note_id", "source_id").agg(F.min("attached_at").alias("at"))
+    known = sources(spark, sf_dir).select("source_id", "content_hash")
+    cited = order.join(known, "source_id").select("note_id", F.struct("at", "source_id").alias("place"), "content_hash")
+    return maintenance.primary_sources(cited, known)
+
+
+@query(f"WITH {SRC}, {FIRST_SOURCE} SELECT note_id, primary_source FROM fs")
 def j20_primary_source(spark, sf_dir):
-    return note_sources(spark, sf_dir).groupBy("note_id").agg(F.min("source_id").alias("primary_source"))
+    return primary_sources(spark, sf_dir)
 
 
 @query(f"WITH {SRC}, {NS} SELECT sr.source_id, count(note_id) AS pages FROM sr LEFT JOIN ns USING (source_id) GROUP BY 1")

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from tessera.functions import notes_text as X
 from tessera.functions import validation as VA
-from tessera.operators import graph, ingest, providers
+from tessera.operators import discovery, graph, ingest, providers
 from tessera.plans.knowledge import DI, EV, discoveries
-from tessera.plans.records import SRC, sources
+from tessera.plans.records import FIRST_SOURCE, SRC, primary_sources, sources
 from tessera.plans.retrieval import GE, NS, N, edges, note_sources, notes
 from tessera.sources.tables import table
 
@@ -27,7 +27,7 @@ def query(sql: str | None = None):
     return register
 
 
-TYPES = "('concept', 'entity', 'synthesis')"
+TYPES = VA.PAGE_TYPES_SQL
 RTYPES = "(" + ", ".join(f"'{t}'" for t in VA.RELATIONSHIP_TYPES) + ")"
 
 
@@ -81,7 +81,7 @@ def a17_review_summary(spark, sf_dir):
     return ingest.decision_summary(said, "proposal_id")
 
 
-@query("WITH p AS (SELECT DISTINCT note_id, source_id, action FROM note_sources WHERE note_id IS NOT NULL AND source_id IS NOT NULL AND note_id % 2 = 0) SELECT note_id, source_id, action FROM p WHERE source_id % 5 <> 0 UNION ALL SELECT DISTINCT note_id, source_id, 'merge' FROM p WHERE source_id % 5 = 0")
+@query("WITH p AS (SELECT DISTINCT note_id, source_id, action FROM note_sources WHERE note_id IS NOT NULL AND source_id IS NOT NULL) SELECT note_id, source_id, action FROM p WHERE source_id % 5 <> 0 UNION ALL SELECT DISTINCT note_id, source_id, 'merge' FROM p WHERE source_id % 5 = 0")
 def i16_attach_provenance(spark, sf_dir):
     rows = table(spark, sf_dir, "note_sources").where("note_id is not null and source_id is not null").select("note_id", "source_id", "action").distinct()
     return ingest.attached(rows, rows.where("source_id % 5 = 0").withColumn("action", F.lit("merge")))
@@ -114,13 +114,10 @@ def c17_chosen_pairs(spark, sf_dir):
     return ingest.chosen_pairs(discoveries(spark, sf_dir), graph.explicit_edges(notes(spark, sf_dir)), note_sources(spark, sf_dir))
 
 
-@query(f"WITH {N}, {NS}, {EV}, {GE}, {DI} SELECT id, string_agg(coalesce(title, ''), '|' ORDER BY dp.note_id) AS titles, count(DISTINCT source_id) AS sources FROM dp JOIN n ON n.note_id = dp.note_id LEFT JOIN (SELECT note_id AS k, min(source_id) AS source_id FROM ns GROUP BY 1) ON k = dp.note_id GROUP BY id")
+@query(f"WITH {N}, {NS}, {EV}, {GE}, {DI}, {SRC}, {FIRST_SOURCE} SELECT id, string_agg(coalesce(title, ''), '|' ORDER BY dp.note_id) AS titles, count(DISTINCT primary_source) AS sources FROM dp JOIN n ON n.note_id = dp.note_id LEFT JOIN fs ON fs.note_id = dp.note_id GROUP BY id")
 def c15_hydrated(spark, sf_dir):
-    pages = discoveries(spark, sf_dir).select("id", F.explode("page_ids").alias("note_id"))
-    primary = note_sources(spark, sf_dir).groupBy("note_id").agg(F.min("source_id").alias("source_id"))
-    rows = pages.join(notes(spark, sf_dir).select("note_id", F.coalesce("title", F.lit("")).alias("title")), "note_id").join(primary, "note_id", "left")
-    whole = rows.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("note_id", "title"))).alias("p"), F.countDistinct("source_id").alias("sources"))
-    return whole.select("id", F.array_join(F.transform("p", lambda p: p["title"]), "|").alias("titles"), "sources")
+    whole = discovery.hydrated(discoveries(spark, sf_dir), notes(spark, sf_dir), primary_sources(spark, sf_dir))
+    return whole.select("id", F.array_join(F.transform("pages", lambda p: p["title"]), "|").alias("titles"), "sources")
 
 
 @query(f"WITH {N}, {NS}, {GE}, dg AS (SELECT node, count(DISTINCT other) FILTER (kind = 'explicit') AS explicit, count(DISTINCT other) FILTER (kind = 'semantic') AS semantic FROM inc GROUP BY 1), s AS (SELECT note_id, count(*) AS sources FROM ns GROUP BY 1) SELECT n.note_id, coalesce(explicit, 0) AS explicit, coalesce(semantic, 0) AS semantic, coalesce(sources, 0) AS sources FROM n LEFT JOIN dg ON node = n.note_id LEFT JOIN s ON s.note_id = n.note_id")

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.functions import markdown as M
 from tessera.functions import notes_text as X
 from tessera.operators import lexical, maintenance
 from tessera.plans.knowledge import EV, FPS, PAIRS, ST, stored
@@ -61,7 +60,7 @@ def t7_source_summary(spark, sf_dir):
     return maintenance.source_summaries(rows)
 
 
-@query("WITH i AS (SELECT ingest_id, min(transcript) AS t FROM ingest_results WHERE source_type = 'pdf' AND transcript <> '' GROUP BY 1) SELECT ingest_id, trim(t[:50], chr(10) || ' ') AS page FROM i")
+@query("WITH i AS (SELECT ingest_id, min(transcript) AS t FROM ingest_results WHERE source_type = 'pdf' AND transcript <> '' GROUP BY 1) SELECT ingest_id, trim(t, chr(10) || ' ') AS page FROM i")
 def t18_page_slice(spark, sf_dir):
     rows = table(spark, sf_dir, "ingest_results").where("source_type = 'pdf' and transcript <> ''").groupBy("ingest_id").agg(F.min("transcript").alias("t"))
     # The whole transcript is one page: its own page markers are text here, so they are quoted by a backslash around the slice.
@@ -99,15 +98,16 @@ def i23_portable_paths(spark, sf_dir):
 
 
 @query(
-    f"""WITH {N}, {NS}, c AS (SELECT source_id, list('- create ' || type || ': [[' || title || ']]' ORDER BY note_id) AS l, min(created_at) AS t FROM ns JOIN n USING (note_id) WHERE title IS NOT NULL AND type IS NOT NULL GROUP BY 1)
-  SELECT source_id, '## [' || strftime(t, '%Y-%m-%dT%H:%M:%S') || 'Z] ingest | source ' || source_id || chr(10) || '- Source SHA-256: `' || sha256(source_id::VARCHAR) || '`' || chr(10) || array_to_string(l, chr(10)) || chr(10) AS entry FROM c"""
+    f"""WITH {N}, {NS}, c AS (SELECT source_id, note_id, '- create ' || type || ': [[' || title || ']]' AS line, created_at FROM ns JOIN n USING (note_id) WHERE title IS NOT NULL AND type IS NOT NULL),
+  e AS (SELECT source_id, min(created_at) AS t FROM c GROUP BY 1)
+  SELECT source_id, 1 AS line_no, '## [' || strftime(t, '%Y-%m-%dT%H:%M:%S') || 'Z] ingest | source ' || source_id AS line FROM e
+  UNION ALL SELECT source_id, 2, '- Source SHA-256: `' || sha256(source_id::VARCHAR) || '`' FROM e
+  UNION ALL SELECT source_id, 2 + row_number() OVER (PARTITION BY source_id ORDER BY note_id), line FROM c"""
 )
 def m10_log_entry(spark, sf_dir):
     rows = note_sources(spark, sf_dir).join(notes(spark, sf_dir).where("title is not null and type is not null").select("note_id", "title", "type", "created_at"), "note_id")
-    per = rows.groupBy("source_id").agg(F.array_sort(F.collect_list(F.struct("note_id", F.lit("create").alias("action"), "type", "title"))).alias("changes"), F.min("created_at").alias("t"))
-    stamp = F.concat(F.date_format("t", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z"))
-    subject = F.concat(F.lit("source "), F.col("source_id").cast("string"))
-    return per.select("source_id", M.log_entry(stamp, F.lit("ingest"), subject, F.sha2(F.col("source_id").cast("string"), 256), F.col("changes")).alias("entry"))
+    entries = rows.groupBy("source_id").agg(F.min("created_at").alias("at")).withColumns({"subject": F.concat(F.lit("source "), F.col("source_id").cast("string")), "content_hash": F.sha2(F.col("source_id").cast("string"), 256)})
+    return maintenance.log_lines(entries, rows.withColumn("action", F.lit("create")), "source_id", "ingest")
 
 
 @query("WITH i AS (SELECT DISTINCT source_id, source_url FROM sources WHERE source_url IS NOT NULL) SELECT CASE WHEN regexp_matches(trim(source_url, ' '), '^[A-Za-z0-9_-]{11}$') THEN 'video' ELSE 'text' END AS kind, count(*) AS inputs FROM i GROUP BY 1")
