@@ -49,16 +49,18 @@ TITLES = ("dr", "prof", "mr", "mrs", "ms", "herr", "frau", "mme", "m", "sr", "sr
 TIME = r"(?:\d{1,3}:)?\d{1,2}:\d{2}(?:[.,]\d{1,3})?"
 CUE = re.compile(rf"^\s*({TIME})\s*-->\s*{TIME}")
 LEADING = re.compile(rf"^\s*(?:\[({TIME})\]|\(({TIME})\)|({TIME}))[\s:\-–]+(?=\S)(.*)$", re.S)
-INNER = re.compile(rf"^\s*(\S[^:\[\]()\n]{{0,60}}?(?:\s*\([^()\d]{{1,30}}\))?)\s*[\[(]({TIME})[\])]\s*:?\s*(.*)$", re.S)
-HEADER = re.compile(rf"^\s*(\S.{{0,70}}?)\s+[\[(]?({TIME})[\])]?\s*$")
-LABEL = re.compile(r"^\s*([^:\n<>]{1,60}?)\s*:(?:\s+|$)(.*)$", re.S)
+INNER = re.compile(rf"^\s*([^\s:\[\]()][^:\[\]()\n]*(?:\([^()\d]+\))?)\s*[\[(]({TIME})[\])]\s*:?\s*(.*)$", re.S)
+HEADER = re.compile(rf"^\s*(\S.*?)\s+[\[(]?({TIME})[\])]?\s*$")
+LABEL = re.compile(r"^\s*([^:\n<>]+):(?:\s+|$)(.*)$", re.S)
 CHANGE = re.compile(r"(?:^|(?<=\s))>>+\s*")
 DASH = re.compile(r"^\s*[-–—]\s+(?=\S)")
 VOICE = re.compile(r"<v(?:\.[^\s>]*)?\s+([^>]*)>")
 TAG = re.compile(r"</?(?:c|i|b|u|v|lang|ruby|rt|font)\b[^>]*>|<\d[\d:.,]*>", re.I)
-BRACKETS = re.compile(r"\[[^\[\]]{0,80}\]|【[^【】]{0,80}】|［[^［］]{0,80}］|<[^<>\n]{1,60}>|\*(?=\S)[^*\n]{1,40}(?<=\S)\*")
-ROUND = re.compile(r"[(（]([^()（）]{1,60})[)）]")
-NOTES = re.compile(r"[♪♫]\s*([^♪♫]{1,60}?)\s*[♪♫]")
+BRACKETS = re.compile(r"\[[^\[\]]*\]|【[^【】]*】|［[^［］]*］|<(?=[^\W\d_]|/)[^<>]*>|\*(?=\S)[^*\n]+(?<=\S)\*")
+ROUND = re.compile(r"[(（]([^()（）]+)[)）]")
+NOTE = re.compile("[♪♫]")
+STAMP = re.compile(TIME)
+DRAWN_OUT = re.compile(r"([^\W\d_])\1{2,}")
 NUMBERED = re.compile(r"^(?:speaker|sprecher|sprecherin|locuteur|locutrice|intervenant|hablante|spk|s)[\s_#.\-]*0*(\d{1,4})$")
 
 
@@ -106,21 +108,36 @@ def _subtract(text: str, spans: list[tuple[int, int]]) -> str:
     return "".join([*out, text[at:]])
 
 
+def _matches(low: str, automaton: ahocorasick.Automaton) -> list[tuple[int, int, str]]:
+    """(start, end, kind) of what the automaton finds; a letter drawn out (uhhhhh) counts as written twice."""
+    if not DRAWN_OUT.search(low):
+        return [(end - n + 1, end + 1, kind) for end, (kind, n) in automaton.iter(low)]
+    kept = [k for k, c in enumerate(low) if not (k > 1 and c == low[k - 1] == low[k - 2] and c.isalpha())]
+    squeezed, ends = "".join(low[k] for k in kept), [*(k for k in kept[1:]), len(low)]
+    return [(kept[end - n + 1], ends[end], kind) for end, (kind, n) in automaton.iter(squeezed)]
+
+
 def count_words(text: str, lang: str) -> int:
     """Words said in a piece of transcript without its labels: annotations and hesitations don't count."""
     text = BRACKETS.sub(" ", text)
     low = _same_length_lower(text)
-    matches = [(end - n + 1, end + 1, kind) for end, (kind, n) in _automaton(lang).iter(low)]
+    matches = _matches(low, _automaton(lang))
     border = lambda a, b: not (a and (low[a - 1].isalnum() or low[a - 1] in "'’")) and not (b < len(low) and (low[b].isalnum() or low[b] in "'’"))
     whole = [(a, b, kind) for a, b, kind in matches if border(a, b)]
     sounds = [(a, b) for a, b, kind in whole if kind == "sound"]
     spans: list[tuple[int, int]] = []
-    for form in (ROUND, NOTES):
-        for m in form.finditer(text):
-            inside = [(a, b) for a, b in sounds if m.start(1) <= a and b <= m.end(1)]
-            # An annotation is nothing but sound words: "(about 6 beds)" and a lone note in speech stay.
-            if inside and not WORD.search(re.sub(r"\d", " ", _subtract(m[1], [(a - m.start(1), b - m.start(1)) for a, b in inside]))):
-                spans.append(m.span())
+    def annotation(start: int, end: int) -> bool:
+        """Begins or ends with a sound and has no number but times: "(about 6 beds)" and a lone note in speech stay."""
+        inside = [(a, b) for a, b in sounds if start <= a and b <= end]
+        return any(not WORD.search(text[start:a]) or not WORD.search(text[b:end]) for a, b in inside) and not re.search(r"\d", STAMP.sub("", text[start:end]))
+
+    spans += [m.span() for m in ROUND.finditer(text) if annotation(*m.span(1))]
+    notes = [m.start() for m in NOTE.finditer(text)]
+    k = 0
+    while k + 1 < len(notes):  # a note that stands alone opens nothing
+        if paired := annotation(notes[k] + 1, notes[k + 1]):
+            spans.append((notes[k], notes[k + 1] + 1))
+        k += 1 + paired
     for a, b, kind in whole:
         if kind != "hesitation":
             continue
@@ -188,7 +205,7 @@ class People:
 
     def _who(self, label: str) -> int | None:
         plain = _plain(label).strip(" .,;-–—")
-        if not plain or len(plain) > 60:
+        if not plain:
             return None
         if m := NUMBERED.match(plain):
             return int(m[1]) if int(m[1]) in self.numbers else 0
@@ -199,6 +216,9 @@ class People:
                     return next(iter(people)) if len(people) == 1 else 0
         if bare != plain and (m := NUMBERED.match(bare)):
             return int(m[1]) if int(m[1]) in self.numbers else 0
+        # A full name and what its bearer is: "Dr. Ann Bee, head of the ward".
+        if (m := re.match(r"([^,(–—]*\s[^,(–—]*?)\s*[,(–—]", bare)) and len(who := self.forms.get(m[1].strip(), ())) == 1:
+            return next(iter(who))
         loose = re.sub(rf"^(?:{'|'.join(TITLES)})\.?\s+", "", bare).replace(".", "").replace(",", "")
         near = {no for way, who in self.forms.items() for no in who if len(way) > 3 and _within_one_edit(loose, way.replace(".", "").replace(",", ""))}
         if len(near) == 1:
@@ -247,6 +267,15 @@ def _cues(lines: list[str]) -> list[tuple[float, str | None, str]]:
     return out
 
 
+def _densest(marked: list[bool]) -> int:
+    """The largest surplus of marked over other lines in any stretch of lines."""
+    best = here = 0
+    for m in marked:
+        here = max(0, here + (1 if m else -1))
+        best = max(best, here)
+    return best
+
+
 def pieces(transcript: str, people: People) -> list[tuple[float | None, int, str]]:
     """(time, speaker_no, text) of each marked turn, in the order written (captions: shown)."""
     lines = re.split(r"\r\n|\r|\n", transcript.lstrip("\ufeff"))
@@ -263,7 +292,7 @@ def pieces(transcript: str, people: People) -> list[tuple[float | None, int, str
 
     def labelled(text: str, time: float | None) -> bool:
         """Starts a turn if text begins with a label."""
-        if (m := LABEL.match(text)) and (who := people.who(m[1])) is not None:
+        if (m := LABEL.match(text)) and (who := people.who(m[1].strip())) is not None:
             start(time, who)
             say(m[2].strip())
             return True
@@ -294,18 +323,17 @@ def pieces(transcript: str, people: People) -> list[tuple[float | None, int, str
             spoken(text, time)
         return [(t, who, " ".join(text)) for t, who, text in turns]
     body = [x for x in (_clean_line(line) for line in lines) if x]
-    head = max(40, len(body) // 4)
     stamped = [bool(LEADING.match(x)) for x in body]
     leading = sum(stamped)
-    inner = sum(bool((m := INNER.match(x)) and people.who(m[1]) is not None) for x in body)
+    inner = sum(bool((m := INNER.match(x)) and people.who(m[1].strip()) is not None) for x in body)
     headers = sum(bool((m := HEADER.match(x)) and people.who(m[1]) is not None) for x in body)
-    if 2 * leading < len(body) and 2 * sum(stamped[:head]) < len(body[:head]):  # a paragraph may begin with a time of day
+    if 2 * leading < len(body) and _densest(stamped) < 3:  # a paragraph may begin with a time of day
         leading = 0
     top = max(leading, inner, headers)
     for line in body:
         if top and headers == top and (m := HEADER.match(line)) and (who := people.who(m[1])) is not None:
             start(_seconds(m[2]), who)
-        elif top and inner == top and (m := INNER.match(line)) and (who := people.who(m[1])) is not None:
+        elif top and inner == top and (m := INNER.match(line)) and (who := people.who(m[1].strip())) is not None:
             start(_seconds(m[2]), who)
             say(m[3].strip())
         elif top and leading == top and headers < top and inner < top and (m := LEADING.match(line)):
@@ -338,7 +366,7 @@ def speaker_turns(results: DataFrame, speakers: DataFrame) -> DataFrame:
                 timed = [t for t, _, _ in found if t is not None]
                 for seq, (time, who, said) in enumerate(found):
                     if n := count_words(said, lang):
-                        out.append((key, seq, time if time is not None else (timed[0] if timed else 0.0), who, n))
+                        out.append((key, seq, time if time is not None else (min(timed) if timed else 0.0), who, n))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True) if out else [[]] * 5, schema, strict=True)], schema=schema)
 
     said = raw.join(known, "ingest_id", "left").mapInArrow(run, "ingest_id bigint, seq int, time double, speaker_no int, n_words int")

@@ -349,3 +349,21 @@ def test_times_after_a_long_introduction(spark):
     intro = "\n".join(["words before the"] * 45)
     timed = [f"0:{n:02} {who}: said the" for n, who in zip(range(1, 51), ["Ada", "Ben"] * 25, strict=True)]
     assert turns(spark, "\n".join([intro, timed[0], *reversed(timed[1:])])) == [(0, 135), *[(1, 2), (2, 2)] * 25]
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        # Annotations, labels and hesitations of any length.
+        ("Ada: one the [" + "noise from the corridor " * 10 + "] two the", [(1, 4)]),
+        ("Dr. Ada Lovel, professor emerita of the department of obstetrics and of the history of medicine in the north: the first one\nBen: and two", [(1, 3), (2, 2)]),
+        ("Ada: uhhhhhhh the ummmmm word (laughter continues loudly) hmmmmmm and the rest", [(1, 5)]),
+        ("Ada: a lone ♪ note and ♪ soft music ♪ the rest (about 6 beds)", [(1, 9)]),
+        ("Ada: the moon, vacuum and aaah of it", [(1, 7)]),
+        # A timed part between a long introduction and a long rest, and a time of day at the head of a paragraph.
+        ("\n".join(["words before the"] * 60 + [f"[0:{n:02}] {w}: said the" for n, w in ((3, "Ada"), (1, "Ben"), (2, "Cleo"))] + ["and after"] * 60), [(0, 180), (2, 2), (3, 2), (1, 122)]),
+        ("8:30 was the hour\nthen the rest\nAda: the word", [(0, 7), (1, 2)]),
+    ],
+)
+def test_turns_without_limits(spark, text, want):
+    assert turns(spark, text) == want
