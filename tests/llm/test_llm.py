@@ -331,11 +331,28 @@ def test_abbreviations_are_learned(spark):
         said = [f"The plan of Dr. {names[i]} was with the ward.", f"It rose in approx. {i} beds of the ward.", f"We met {names[-i]} and the rest."]
         rows.append((i, " ".join(said[i % 3 :] + said[: i % 3])))
     df = spark.createDataFrame([*rows, (900, None), (901, ""), (902, "  "), rows[0]], "doc_id bigint, text string")
-    model = sentences.learn(sentences.corpus_counts(df.where("length(text) > 0").select("text")))
+    model = sentences.models(sentences.learn(sentences.corpus_counts(df.where("length(text) > 0").select("text"))).collect())
     assert {"dr", "approx"} <= set(model["en"].abbreviations) and "ward" not in model["en"].abbreviations
     spans = sentences.sentence_spans(df)
     assert spans.count() == 900 and spans.where("doc_id >= 900").count() == 0
     assert sentences.sentence_spans(df.limit(0)).count() == 0
+    # Tables too large to send give the same sentences through a join.
+    assert {tuple(r) for r in sentences.sentence_spans(df, model_rows=0).collect()} == {tuple(r) for r in spans.collect()}
+
+
+def test_what_is_learned_does_not_depend_on_the_size_of_the_corpus(spark):
+    few = [(i, f"The ward of Prof. {n} was with the plan. It is so.") for i, n in enumerate(["Bado", "Cemi", "Difo", "Gule", "Hano", "Jipe", "Kalo", "Mure"])]
+    many = [(100 + i, f"The bed number {i} was with the ward. It is of use to the plan. We have it.") for i in range(20_000)]
+    for rows in (few + many[:50], few + many):
+        frame = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+        model = sentences.models(sentences.learn(sentences.corpus_counts(frame.select("text"))).collect())
+        assert "prof" in model["en"].abbreviations
+
+
+def test_each_block_has_its_own_language():
+    text = "The plan of the ward was with the nurse and it is of use to the rest.\n\nDie Liste der Station ist nicht mit dem Plan und wurde für den Arzt am 17. Juli neu geführt.\n\nПлан был готов. Он новый."
+    assert [b[3] for b in sentences.blocks_with_language(text)] == ["en", "de", "ru"]
+    assert [text[a:b] for a, b in sentences.sentences(text, MODEL)][1].endswith("Juli neu geführt.")
 
 
 def test_everything_together_is_registered():
@@ -361,7 +378,7 @@ def test_times_after_a_long_introduction(spark):
         ("Ada: a lone ♪ note and ♪ soft music ♪ the rest (about 6 beds)", [(1, 9)]),
         ("Ada: the moon, vacuum and aaah of it", [(1, 7)]),
         # A timed part between a long introduction and a long rest, and a time of day at the head of a paragraph.
-        ("\n".join(["words before the"] * 60 + [f"[0:{n:02}] {w}: said the" for n, w in ((3, "Ada"), (1, "Ben"), (2, "Cleo"))] + ["and after"] * 60), [(0, 180), (2, 2), (3, 2), (1, 122)]),
+        ("\n".join(["words before the"] * 60 + [f"[0:{n:02}] {w}: said the" for n, w in ((3, "Ada"), (1, "Ben"), (2, "Cleo"))] + ["and after"] * 60), [(0, 180), (2, 2), (3, 122), (1, 2)]),
         ("8:30 was the hour\nthen the rest\nAda: the word", [(0, 7), (1, 2)]),
     ],
 )
