@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+from dataclasses import replace
 
 from pyspark.sql import functions as F
 
@@ -127,12 +128,33 @@ def test_batches_in_any_order_give_the_same_state(spark):
     refs = [("links", rng.randrange(6), f"k{rng.randrange(14)}", at(rng.randrange(1, 28))) for _ in range(40)]
     refs = [(f, n, t, "note", t, w) for f, n, t, w in refs]
     gone = [("note", i) for i in range(0, 20, 4)]
-    whole = rows_of(orphans.advance(orphans.empty_state(spark), *frames(spark, parents, refs, gone), first=True))
+    whole = rows_of(orphans.advance(orphans.empty_state(spark), *frames(spark, parents, refs, gone)))
     state = orphans.empty_state(spark)
     for p, r, g in ((parents[10:], refs[:15], []), (parents[:3], refs[15:], gone[2:]), (parents[3:10], refs[:5], gone[:2])):
         state = orphans.advance(state, *frames(spark, p, r, g))
     assert rows_of(state) == whole
-    assert orphans.snapshot_counts(state).agg(F.sum("orphans")).first()[0] == sum(o for *_, o in whole)
+    for k, some in ((0, state), (1, replace(state, version=2)), (2, replace(state, version=1))):
+        counts = orphans.snapshot_counts(some).agg(F.sum("orphans"), F.sum("references")).first()
+        held = rows_of(some)
+        assert (counts[0], counts[1]) == (sum(o for *_, o in held), len(held)) and (k or held == whole)
+
+
+def test_state_resolves_and_reopens_and_a_small_batch_reads_its_keys_alone(spark):
+    refs = [("links", n, f"t{k}", "note", f"t{k}", at(10)) for k in range(40) for n in range(5)]
+    state = orphans.advance(orphans.empty_state(spark), *frames(spark, [], refs, []))
+    assert sum(o for *_, o in rows_of(state)) == 200
+    state = orphans.advance(state, *frames(spark, [("note", "t7", 7, at(5)), ("note", "t8", 8, at(20))], [], []))
+    assert {t for *_, t, o in rows_of(state) if not o} == {"t7"}  # resolved; t8 came too late
+    # Only the five references that were resolved have a row of the second version.
+    assert state.log("references").where("version = 2").count() == 5
+    state = orphans.advance(state, *frames(spark, [], [], [("note", 7)]))
+    assert sum(o for *_, o in rows_of(state)) == 200  # reopened
+    touched = spark.createDataFrame([("note", "t7")], "kind string, key string")
+    buckets, few = orphans._places(state, touched, ("kind", "key"))
+    plan = orphans._touching(state, "references", touched, ("kind", "key"), buckets, few)._jdf.queryExecution().executedPlan().toString()
+    assert len(buckets) == 1 and few == ["t7"] and "PartitionFilters: [bucket" in plan.replace("isnotnull(bucket", "bucket") or "bucket#" in plan
+    again = orphans.advance(state, *frames(spark, [], refs[:3], [("note", 7)]))
+    assert rows_of(again) == rows_of(state)
 
 
 def test_orphans_of_empty_and_dirty_tables(spark):
