@@ -15,11 +15,15 @@ def stripped(text: Column) -> Column:
     return F.regexp_replace(text, r"^\s+|\s+$", "")
 
 
+#: What plain text leaves out, in this order.
+PLAIN = (
+    (r"!\[([^\]]*)\]\([^)]*\)", "$1"), (r"\[([^\]]+)\]\([^)]*\)", "$1"), (r"\[\[([^\]]+)\]\]", "$1"), (r"</?[A-Za-z][^>]*>", " "), (r"(?m)^\s*[#>*+-]+\s+", ""), (r"[*_~`]", ""),
+)
+
+
 def plain_text(text: Column) -> Column:
     """Without Markdown images, links, page links, tags, bullets and emphasis; white space as one space."""
-    for pattern, to in (
-        (r"!\[([^\]]*)\]\([^)]*\)", "$1"), (r"\[([^\]]+)\]\([^)]*\)", "$1"), (r"\[\[([^\]]+)\]\]", "$1"), (r"</?[A-Za-z][^>]*>", " "), (r"(?m)^\s*[#>*+-]+\s+", ""), (r"[*_~`]", ""),
-    ):
+    for pattern, to in PLAIN:
         text = F.regexp_replace(text, pattern, to)
     return squeezed(text)
 

@@ -117,10 +117,14 @@ def layout(edges: DataFrame) -> DataFrame:
     )
 
 
-def seeded_draws(count: int, seed: int = 0x517A2F19) -> list[float]:
+#: The multiplier, increment and usual seed of the layout's generator.
+MULTIPLIER, INCREMENT, SEED = 1_664_525, 1_013_904_223, 0x517A2F19
+
+
+def seeded_draws(count: int, seed: int = SEED) -> list[float]:
     """Numbers of a 32-bit linear congruential generator in [0, 1): the same for a seed everywhere."""
     out, state = [], seed & 0xFFFFFFFF
     for _ in range(count):
-        state = (1_664_525 * state + 1_013_904_223) & 0xFFFFFFFF
+        state = (MULTIPLIER * state + INCREMENT) & 0xFFFFFFFF
         out.append(state / 2**32)
     return out
