@@ -6,6 +6,7 @@ import math
 import os
 import random
 import re
+import time
 import unicodedata
 
 import numpy as np
@@ -268,12 +269,60 @@ def test_leaks_match_brute_force(spark):
     assert contamination.leaked_items(d.limit(0), e).count() == 0 and contamination.leaked_items(d, e.limit(0)).count() == 0
 
 
-def test_reordered_passages_add_up():
-    item = np.arange(40, dtype=np.uint64)
-    doc = np.concatenate([item[20:], np.array([99], dtype=np.uint64), item[:20]])
-    seeds = contamination.Seeds([(1, item)], 10)
-    marked = contamination.tiles(doc, item, seeds.hits(contamination.seeds_of(doc, 10))[0], 10)
+def tiled(doc, item, least=10):
+    doc, item = (np.array(x, dtype=np.uint64) for x in (doc, item))
+    starts = contamination.Seeds([(1, item)], least).starts(contamination.seeds_of(doc, least), doc)
+    return contamination.tiles(doc, item, *starts[0], least) if starts else []
+
+
+def slow_tiles(doc, item, least):
+    """Marks the longest free common run again and again."""
+    free_d, free_i, out = [True] * len(doc), [True] * len(item), []
+    while True:
+        best = (0, 0, 0)
+        for d in range(len(doc)):
+            for i in range(len(item)):
+                n = 0
+                while d + n < len(doc) and i + n < len(item) and doc[d + n] == item[i + n] and free_d[d + n] and free_i[i + n]:
+                    n += 1
+                if n > best[2]:
+                    best = (d, i, n)
+        if best[2] < least:
+            return out
+        out.append(best)
+        for k in range(best[2]):
+            free_d[best[0] + k] = free_i[best[1] + k] = False
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.integers(5, 7), max_size=24), st.lists(st.integers(5, 7), max_size=16))
+def test_tiles_match_brute_force(doc, item):
+    assert tiled(doc, item, 3) == slow_tiles(doc, item, 3)
+
+
+def test_reordered_passages_add_up(spark):
+    marked = tiled([*range(20, 40), 99, *range(20)], range(40))
     assert sum(m[2] for m in marked) == 40 and len(marked) == 2
+    items = spark.createDataFrame([(1, " ".join(f"w{k}" for k in range(40)))], "item_id bigint, text string")
+    docs = spark.createDataFrame([(1, " ".join(f"w{k}" for k in [*range(28, 40), *range(12, 28), *range(12)])), (2, " ".join(f"w{k}" for k in range(12)))], "doc_id bigint, text string")
+    assert {r["doc_id"]: r["covered"] for r in contamination.leaked_items(docs, items, least=5).collect()} == {1: 40, 2: 12}
+    assert [r["doc_id"] for r in contamination.leaked_items(docs, items, least=5, least_covered=0.5).collect()] == [1]
+
+
+def test_repeated_words_stay_cheap():
+    began = time.process_time()
+    assert tiled([7] * 10_000, [7] * 10_000) == [(0, 0, 10_000)]
+    assert sum(m[2] for m in tiled([7, 8] * 5_000, [8, 7] * 40)) == 80
+    assert len(tiled([7] * 10_000, [7] * 25 + [9] + [7] * 12)) == 2
+    assert time.process_time() - began < 6
+
+
+def test_items_in_several_blocks(spark, monkeypatch):
+    monkeypatch.setattr(contamination, "MAX_BLOCK_SEEDS", 30)
+    texts = [" ".join(f"x{i}y{k}" for k in range(15)) for i in range(6)]
+    items = spark.createDataFrame(list(enumerate(texts)), "item_id bigint, text string")
+    docs = spark.createDataFrame([(i, f"before {t} after") for i, t in enumerate(texts)], "doc_id bigint, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in contamination.leaked_items(docs, items).collect()} == {(i, i) for i in range(6)}
 
 
 # ---- 8 sentences ----------------------------------------------------------------------------
