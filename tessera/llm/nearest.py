@@ -2,10 +2,12 @@
 
 Each curve projects the unit vectors to a few coordinates (a random rotation within the leading
 principal directions), quantises them with its own shift and orders them by their Hilbert index.
-Spark range-partitions each ordering; in a partition every block of rows is compared with a window
-of its neighbours on the curve by one matrix product, the best are reranked in double precision,
-and the lists of all curves are merged. Approximate: a neighbour is found if it falls into the
-window on at least one curve; recall is measured against brute force in the README.
+Only keys are shuffled for the ordering; each is numbered along its curve, and the curves are cut into
+slices of neighbouring rows. A slice also gets the `window` rows before and after it, so every row meets
+its whole window wherever the cuts fall. In a slice each block of rows is compared with its window
+by one matrix product, the best are reranked in double precision, and the lists of all curves are
+merged. Approximate: a neighbour is found if it falls into the window on at least one curve; recall is
+measured against brute force in the README.
 
 Exact copies of a vector are folded into one representative with its lowest ids, so that a hot
 group neither fills a window nor a task.
@@ -21,16 +23,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.session import cut_lineage
+from tessera.operators.ranking import ranked
+from tessera.session import cut_lineage, parallelism
 
-CURVES = 12
-WINDOW = 4096  # rows on each side of a row's block
-BLOCK = 512
+CURVES = 8
+WINDOW = 1024  # rows on each side of a row's block
+BLOCK = 256
 COORDINATES = 8
 BITS = 7
 DIRECTIONS = 24
 FIT_ROWS = 20_000  # the bound of the sample that directions and quantiles are fitted on; every row is indexed
-SLICE_ROWS = 49_152  # rows of a range partition
+SLICE_ROWS = 49_152  # the most rows of a slice, without those of its neighbours
+COPIES = 8  # of the table of a representative's ids: a row that is near to very many is joined by so many tasks
 
 
 def usable(vector: Column, dims: int) -> Column:
@@ -103,15 +107,15 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
-def window_neighbours(vectors: np.ndarray, ids: np.ndarray, k: int, window: int, block: int) -> tuple[np.ndarray, np.ndarray]:
-    """For rows in curve order: ids and double-precision cosines of the k best others within the window (-1 where fewer)."""
-    n = len(vectors)
+def window_neighbours(vectors: np.ndarray, ids: np.ndarray, k: int, window: int, block: int, first: int = 0, last: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """For the rows first to last in curve order: ids and double-precision cosines of the k best others within the window (-1 where fewer)."""
+    n, last = len(vectors), len(vectors) if last is None else last
     exact = vectors.astype(np.float64)
     exact /= np.linalg.norm(exact, axis=1, keepdims=True)
     units = exact.astype(np.float32)
-    out_id, out_sim = np.full((n, k), -1, np.int64), np.full((n, k), -np.inf)
-    for a in range(0, n, block):
-        b = min(n, a + block)
+    out_id, out_sim = np.full((last - first, k), -1, np.int64), np.full((last - first, k), -np.inf)
+    for a in range(first, last, block):
+        b = min(last, a + block)
         lo, hi = max(0, a - window), min(n, b + window)
         sims = units[a:b] @ units[lo:hi].T
         sims[np.arange(b - a), np.arange(a - lo, b - lo)] = -np.inf
@@ -122,8 +126,8 @@ def window_neighbours(vectors: np.ndarray, ids: np.ndarray, k: int, window: int,
         fine = np.einsum("rd,rkd->rk", exact[a:b], exact[near])
         order = np.lexsort((ids[near], -fine), axis=1)[:, :k]
         rows = np.arange(b - a)[:, None]
-        out_id[a:b, : order.shape[1]] = ids[near[rows, order]]
-        out_sim[a:b, : order.shape[1]] = fine[rows, order]
+        out_id[a - first : b - first, : order.shape[1]] = ids[near[rows, order]]
+        out_sim[a - first : b - first, : order.shape[1]] = fine[rows, order]
     return out_id, out_sim
 
 
@@ -139,17 +143,19 @@ def most_similar(
     spark = df.sparkSession
     rows = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).cast("array<float>").alias("v")).where(F.col("id").isNotNull() & usable(F.col("v"), dims))
     rows = rows.withColumns({"ha": F.xxhash64("v"), "hb": F.hash("v").cast("bigint")})
-    rows = cut_lineage(rows.groupBy("id").agg(F.min_by(F.struct("v", "ha", "hb"), F.struct("ha", "hb")).alias("r")).select("id", "r.*"))
+    once = cut_lineage(rows.groupBy("id").agg(F.min(F.struct("ha", "hb")).alias("h")).select("id", "h.*"))
     # The lowest k + 1 ids of each vector are all that a tie can ask for; the limit is applied before the shuffle.
     low = Window.partitionBy("ha", "hb").orderBy("id")
-    head = rows.withColumn("_n", F.row_number().over(low)).where(F.col("_n") <= k + 1)
-    reps = cut_lineage(head.groupBy("ha", "hb").agg(F.min("id").alias("rep"), F.min_by("v", "id").alias("v"), F.array_sort(F.collect_list("id")).alias("ids")))
+    head = once.withColumn("_n", F.row_number().over(low)).where(F.col("_n") <= k + 1)
+    folded = cut_lineage(head.groupBy("ha", "hb").agg(F.min("id").alias("rep"), F.array_sort(F.collect_list("id")).alias("ids")))
+    owner = folded.select(F.col("rep").alias("id"), "ha", "hb")
+    reps = cut_lineage(rows.join(owner, ["id", "ha", "hb"], "left_semi").groupBy(F.col("id").alias("rep")).agg(F.first("v").alias("v")))
     total = reps.count()
-    fit = reps.orderBy(F.xxhash64("rep")).select("v").limit(FIT_ROWS).toArrow().column("v").combine_chunks() if total else None
     if not total:
         return spark.createDataFrame([], "id bigint, neighbour bigint, similarity double, rank int")
+    fit = reps.orderBy(F.xxhash64("rep")).select("v").limit(FIT_ROWS).toArrow().column("v").combine_chunks()
     shared = spark.sparkContext.broadcast(Curves(_matrix(fit).astype(np.float64), curves, COORDINATES, BITS, DIRECTIONS, seed))
-    key_schema = pa.schema([("curve", pa.int32()), ("key", pa.int64()), ("rep", pa.int64()), ("v", pa.list_(pa.float32()))])
+    key_schema = pa.schema([("rep", pa.int64()), ("curve", pa.int32()), ("key", pa.int64())])
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fitted: Curves = shared.value
@@ -159,38 +165,40 @@ def most_similar(
             vectors = _matrix(batch.column(1)).astype(np.float64)
             units = (vectors / np.linalg.norm(vectors, axis=1, keepdims=True)).astype(np.float32)
             for c in range(curves):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(units), c, np.int32)), pa.array(fitted.keys(units, c)), batch.column(0), batch.column(1).cast(key_schema.field("v").type)], schema=key_schema)
-
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.full(len(units), c, np.int32)), pa.array(fitted.keys(units, c))], schema=key_schema)
+
+    # Slices small enough for all cores to have some, but far larger than the rows they share with their neighbours.
+    size = max(8 * window, min(SLICE_ROWS, math.ceil(total * curves / parallelism(spark))))
+    placed = ranked(reps.select("rep", "v").mapInArrow(index, "rep bigint, curve int, key bigint"), ["curve"], [F.col("key"), F.col("rep")], "at").withColumn("at", F.col("at") - 1)
+    own, inside = F.floor(F.col("at") / size), F.col("at") % size
+    slices = F.array_compact(F.array(own, F.when((inside < window) & (own > 0), own - 1), F.when(inside >= size - window, own + 1)))
+    places = placed.select("rep", "curve", "at", own.alias("own"), F.explode(slices).alias("slice"))
+    count = math.ceil(total / size)
+    work = places.where(F.col("slice") < count).join(reps, "rep").select((F.col("curve") * count + F.col("slice")).alias("unit"), (F.col("own") == F.col("slice")).alias("inner"), "at", "rep", "v")
     found_schema = pa.schema([("rep", pa.int64()), ("near", pa.list_(pa.int64())), ("sims", pa.list_(pa.float64()))])
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]  # one range partition: SLICE_ROWS rows, give or take
-        if not held:
-            return
-        part = pa.Table.from_batches(held)
-        curve, ids = part.column("curve").to_numpy(), part.column("rep").to_numpy()
-        vectors = np.concatenate([_matrix(c) for c in part.column("v").chunks])
-        for c in np.unique(curve):
-            at = np.nonzero(curve == c)[0]
-            near, sims = window_neighbours(vectors[at], ids[at], k, window, BLOCK)
-            offsets = pa.array(np.arange(len(at) + 1) * k, pa.int32())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids[at]), pa.ListArray.from_arrays(offsets, pa.array(near.ravel())), pa.ListArray.from_arrays(offsets, pa.array(sims.ravel()))], schema=found_schema
-            )
-
-    parts = max(1, math.ceil(total * curves / SLICE_ROWS))
-    keyed = reps.select("rep", "v").mapInArrow(index, "curve int, key bigint, rep bigint, v array<float>")
-    ordered = keyed.repartitionByRange(parts, "curve", "key", "rep").sortWithinPartitions("curve", "key", "rep")
-    found = ordered.mapInArrow(compare, "rep bigint, near array<bigint>, sims array<double>")
+    def compare(part: pa.Table) -> pa.Table:
+        order = np.argsort(part.column("at").to_numpy())
+        ids, inner = part.column("rep").to_numpy()[order], part.column("inner").to_numpy()[order]
+        vectors = np.concatenate([_matrix(c) for c in part.column("v").chunks])[order]
+        mine = np.flatnonzero(inner)
+        near, sims = window_neighbours(vectors, ids, k, window, BLOCK, int(mine[0]), int(mine[-1]) + 1)
+        offsets = pa.array(np.arange(len(mine) + 1) * k, pa.int32())
+        return pa.Table.from_arrays([pa.array(ids[mine]), pa.ListArray.from_arrays(offsets, pa.array(near.ravel())), pa.ListArray.from_arrays(offsets, pa.array(sims.ravel()))], schema=found_schema)
+
+    units = count * curves
+    found = work.repartition(units, "unit").groupBy("unit").applyInArrow(compare, "rep bigint, near array<bigint>, sims array<double>")
     # Merge the curves: at most curves * k entries a representative.
     entries = F.array_distinct(F.flatten(F.collect_list(F.arrays_zip(F.transform("sims", lambda s: -s).alias("far"), F.col("near").alias("near")))))
     merged = found.groupBy("rep").agg(F.slice(F.array_sort(F.filter(entries, lambda e: e["near"] >= 0)), 1, k).alias("best"))
     # Representatives stand for their copies: a neighbour brings its lowest ids, a vector's own copies come first.
-    spread = merged.select("rep", F.explode("best").alias("e")).select("rep", F.col("e.near").alias("to"), F.col("e.far").alias("far"))
-    others = spread.join(reps.select(F.col("rep").alias("to"), "ids"), "to").select("rep", F.transform("ids", lambda i: F.struct(F.col("far").alias("far"), i.alias("near"))).alias("c"))
-    own = reps.where(F.size("ids") > 1).select("rep", F.transform("ids", lambda i: F.struct(F.lit(-1.0).alias("far"), i.alias("near"))).alias("c"))
-    lists = others.unionByName(own).groupBy("rep").agg(F.slice(F.array_sort(F.flatten(F.collect_list("c"))), 1, k + 1).alias("c"))
-    members = rows.select("id", "ha", "hb").join(reps.select("ha", "hb", "rep"), ["ha", "hb"])
+    several = folded.where(F.size("ids") > 1).select("rep", "ids")
+    copies = several.select(F.col("rep").alias("to"), "ids", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(COPIES - 1).cast("bigint"))).alias("slice"))
+    spread = merged.select("rep", F.explode("best").alias("e")).select("rep", F.col("e.near").alias("to"), F.col("e.far").alias("far"), F.pmod(F.xxhash64("rep"), F.lit(COPIES)).alias("slice"))
+    others = spread.join(copies, ["to", "slice"], "left").select("rep", F.transform(F.coalesce("ids", F.array("to")), lambda i: F.struct(F.col("far").alias("far"), i.alias("near"))).alias("c"))
+    own_copies = several.select("rep", F.transform("ids", lambda i: F.struct(F.lit(-1.0).alias("far"), i.alias("near"))).alias("c"))
+    lists = others.unionByName(own_copies).groupBy("rep").agg(F.slice(F.array_sort(F.flatten(F.collect_list("c"))), 1, k + 1).alias("c"))
+    members = once.join(folded.select("ha", "hb", "rep"), ["ha", "hb"]).select("id", "rep")
     best = members.join(lists, "rep").select("id", F.slice(F.filter("c", lambda e: e["near"] != F.col("id")), 1, k).alias("c"))
     return best.select("id", F.posexplode("c").alias("at", "e")).select("id", F.col("e.near").alias("neighbour"), (-F.col("e.far")).alias("similarity"), (F.col("at") + 1).cast("int").alias("rank"))
 

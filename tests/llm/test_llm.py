@@ -90,6 +90,17 @@ def test_recall_on_stored_vectors(spark):
     assert sum(len(got[i] & set(want[i])) for i in want) / sum(map(len, want.values())) >= 0.9
 
 
+def test_windows_are_whole_across_slices(spark, monkeypatch):
+    monkeypatch.setattr(nearest, "BLOCK", 1)  # rows of a block share their windows
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(900, 8)).astype(np.float32))]
+    df = spark.createDataFrame(rows, "note_id bigint, vector array<float>").repartition(3)
+    want = {(r["id"], r["neighbour"]) for r in nearest.most_similar(df, dims=8, curves=2, window=40).collect()}
+    # Without cuts: one slice holds each curve, and gives the same.
+    monkeypatch.setattr(nearest, "parallelism", lambda spark: 1)
+    assert {(r["id"], r["neighbour"]) for r in nearest.most_similar(df, dims=8, curves=2, window=40).collect()} == want
+
+
 # ---- 2 near duplicates ----------------------------------------------------------------------
 def test_parity_never_exceeds_the_difference():
     rng = random.Random(2)
@@ -230,6 +241,7 @@ def test_split_texts_of_dirty_rows(spark):
 # ---- 6 tokenizer ----------------------------------------------------------------------------
 TEXTS = [
     None, "", " ", "Hello world", "don't I'll we've  \n\n x\t", "<|endoftext|> [INST]", "日本語のテキスト。候诊名单", "नमस्ते दुनिया สวัสดี مرحبا", "🙂🙃 é é ﬁ №½ ‍​\xa0 ", "=" * 300, "a" * 500, "x1y22z333 1234567", "\r\n\r\n\x00\x1f\x85", "Привет, мир! " * 40,
+    "=" * 5000, " " * 999 + "x", "ab" * 700, "候诊名单更新" * 500, "ไม่มีช่องว่าง" * 200, "-=" * 400, "!!!!", "Ünïcödé ſtraße",
 ]
 
 
