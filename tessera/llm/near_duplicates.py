@@ -25,10 +25,10 @@ from pyspark.sql import functions as F
 
 from tessera.llm.words import word_hashes, words
 from tessera.operators.components import connected_components
-from tessera.session import cut_lineage, spread
+from tessera.session import cut_lineage, parallelism, spread
 
 FIRST, SECOND = 4, 12  # 64-bit words of the first bound, and of the one for what it lets through
-TILE = 32_768
+TILE, LEAST_TILE = 32_768, 2_048
 PROFILE = "note_id bigint, n int, first binary, second binary, fp_a bigint, fp_b bigint, hashes array<bigint>"
 
 
@@ -62,8 +62,11 @@ def profiles(notes: DataFrame, id_col: str, title_col: str, body_col: str, min_w
     return spread(rows, "note_id").mapInArrow(run, PROFILE)
 
 
-def _bands(sizes: list[tuple[int, int]], tile: int) -> list[tuple[int, int, int, int]]:
-    """(n, first tile, tiles, band) for each size: neighbouring small sizes share a tile, a large one is split."""
+def _bands(sizes: list[tuple[int, int]], tile: int, similarity: float) -> list[tuple[int, int, int, int, int]]:
+    """(n, tile, tiles, first, last) for each size: neighbouring small sizes share a tile, a large one is split.
+
+    first and last are the tiles of the sizes that a record of size n can be near to.
+    """
     out, at, filled = [], 0, 0
     for n, count in sorted(sizes):
         if filled and filled + count > tile:
@@ -74,7 +77,10 @@ def _bands(sizes: list[tuple[int, int]], tile: int) -> list[tuple[int, int, int,
             at, filled = at + parts, 0
         else:
             filled += count
-    return out
+    ns = [n for n, _, _ in out]
+    low = np.searchsorted(ns, [math.ceil(n * similarity - 1e-9) for n in ns])
+    high = np.searchsorted(ns, [math.floor(n / similarity + 1e-9) for n in ns], side="right") - 1
+    return [(n, at, parts, out[a][1], out[b][1] + out[b][2] - 1) for (n, at, parts), a, b in zip(out, low.tolist(), high.tolist(), strict=True)]
 
 
 def radius(n_left: np.ndarray, n_right: np.ndarray, similarity: float) -> np.ndarray:
@@ -124,52 +130,53 @@ def _tile_arrays(table: pa.Table):
     return (n[order], first, second), table.column("rep").to_numpy()[order]
 
 
-def candidate_pairs(reps: DataFrame, similarity: float, tile: int = TILE) -> DataFrame:
-    """(left_id, right_id) of representatives within the radius, from tiled comparison."""
+def candidate_pairs(reps: DataFrame, similarity: float, tile: int | None = None) -> DataFrame:
+    """(left_id, right_id) of representatives within the radius, from tiled comparison.
+
+    A unit of work is a pair of tiles. Each record goes to the units of its own tile with the tiles of
+    sizes it can be near to, so no list of units is made and skipped tile pairs get no rows.
+    """
     spark = reps.sparkSession
     # One number for each size that occurs: bounded by the longest record, not by the collection.
     sizes = [(r["n"], r["count"]) for r in reps.groupBy("n").count().collect()]
-    bands = _bands(sizes, tile)
-    spans: dict[int, tuple[int, int]] = {}
-    for n, at, parts in bands:
-        for t in range(at, at + parts):
-            lo, hi = spans.get(t, (n, n))
-            spans[t] = (min(lo, n), max(hi, n))
-    units = [(i, j) for i in spans for j in spans if i <= j and spans[j][0] * similarity <= spans[i][1] + 1e-9 and spans[i][0] * similarity <= spans[j][1] + 1e-9]
-    if not units:
+    if not sizes:
         return spark.createDataFrame([], "left_id bigint, right_id bigint")
-    sides = [(i, k, 0) for k, (i, _) in enumerate(units)] + [(j, k, 1) for k, (i, j) in enumerate(units) if i != j]
-    place = spark.createDataFrame(bands, "n int, at int, parts int")
-    todo = spark.createDataFrame(sides, "tile int, unit int, side int")
-    tiled = (
-        reps.select("rep", "n", "first", "second")
-        .join(F.broadcast(place), "n")  # a row for each size
-        .withColumn("tile", (F.col("at") + F.pmod(F.xxhash64("rep"), F.col("parts"))).cast("int"))
-        .join(F.broadcast(todo), "tile")  # a row for each unit of work
-        .select("unit", "side", "rep", "n", "first", "second")
-    )
+    # Tiles as large as memory allows, but enough pairs of them for all cores.
+    total, cores = sum(count for _, count in sizes), parallelism(spark)
+    tile = tile or max(LEAST_TILE, min(TILE, math.ceil(total / math.sqrt(4 * cores))))
+    bands = _bands(sizes, tile, similarity)
+    place = spark.createDataFrame(bands, "n int, at int, parts int, first int, last int")
+    at = (F.col("at") + F.pmod(F.xxhash64("rep"), F.col("parts"))).cast("int")
+    tiled = reps.select("rep", "n", "first", "second").join(F.broadcast(place.withColumnsRenamed({"first": "low", "last": "high"})), "n").withColumn("tile", at)  # a row for each size
+    pair = lambda i, j, side: F.struct(i.alias("i"), j.alias("j"), F.lit(side).alias("side"))
+    none = F.array().cast("array<struct<i:int,j:int,side:int>>")
+    later = F.when(F.col("high") >= F.col("tile"), F.transform(F.sequence("tile", "high"), lambda j: pair(F.col("tile"), j, 0))).otherwise(none)
+    earlier = F.when(F.col("low") < F.col("tile"), F.transform(F.sequence(F.col("low"), F.col("tile") - 1), lambda i: pair(i, F.col("tile"), 1))).otherwise(none)
+    tiled = tiled.select(F.explode(F.concat(later, earlier)).alias("u"), "rep", "n", "first", "second").select("u.*", "rep", "n", "first", "second")
     schema = pa.schema([("left_id", pa.int64()), ("right_id", pa.int64())])
 
     def run(group: pa.Table) -> pa.Table:
         side = group.column("side")
         left, left_ids = _tile_arrays(group.filter(pa.compute.equal(side, 0)))
-        other = group.filter(pa.compute.equal(side, 1))
-        right, right_ids = _tile_arrays(other) if other.num_rows else (left, left_ids)
-        i, j = compare_tiles(left, right, not other.num_rows, similarity) if len(left[0]) else (np.zeros(0, np.int64),) * 2
+        same = group.column("i")[0] == group.column("j")[0]
+        right, right_ids = (left, left_ids) if same else _tile_arrays(group.filter(pa.compute.equal(side, 1)))
+        i, j = compare_tiles(left, right, same, similarity) if len(left[0]) and len(right[0]) else (np.zeros(0, np.int64),) * 2
         return pa.Table.from_arrays([pa.array(left_ids[i], pa.int64()), pa.array(right_ids[j], pa.int64())], schema=schema)
 
-    partitions = min(2000, 4 * len(units))
-    return tiled.repartition(partitions, "unit").groupBy("unit").applyInArrow(run, "left_id bigint, right_id bigint")
+    # A fixed number of partitions, which the planner doesn't merge: units are much work for their bytes.
+    tiles = max(last for *_, last in bands) + 1
+    partitions = max(cores, min(20 * cores, tiles * (tiles + 1) // 2))
+    return tiled.repartition(partitions, "i", "j").groupBy("i", "j").applyInArrow(run, "left_id bigint, right_id bigint")
 
 
 def near_groups(
-    notes: DataFrame, id_col: str = "note_id", title_col: str = "title", body_col: str = "body", similarity: float = 0.7, min_words: int = 20, tile: int = TILE
+    notes: DataFrame, id_col: str = "note_id", title_col: str = "title", body_col: str = "body", similarity: float = 0.7, min_words: int = 20, tile: int | None = None
 ) -> DataFrame:
-    """(note_id, class_id, links): every record that is near another one, its class and its number of near word sets.
+    """(note_id, class_id, links): every record that is near another one, its class and its number of near records.
 
     Two records are near if the Jaccard similarity of their distinct words (title and body, null as
     empty) is at least `similarity` and each has `min_words`; classes are chains of near records.
-    class_id is the smallest id. Repeated rows count once; where one id has several texts, the
+    class_id is the smallest id; links counts exact copies too. Repeated rows count once; where one id has several texts, the
     one with the smallest fingerprint counts. Short, empty and null texts give no row.
     """
     seen = profiles(notes, id_col, title_col, body_col, min_words)
@@ -187,21 +194,27 @@ def near_groups(
     )
     links = cut_lineage(checked)
     labels = connected_components(links, "left_id", "right_id")
-    degree = links.select(F.explode(F.array("left_id", "right_id")).alias("rep")).groupBy("rep").agg(F.count("*").alias("links"))
+    # Near records, not word sets: each neighbour counts with its copies, and a record's own copies are near it.
+    both = links.select(F.col("left_id").alias("rep"), F.col("right_id").alias("other")).unionByName(links.select(F.col("right_id").alias("rep"), F.col("left_id").alias("other")))
+    degree = both.join(reps.select(F.col("rep").alias("other"), "copies"), "other").groupBy("rep").agg(F.sum("copies").alias("near"))
     classes = labels.withColumnRenamed("node", "rep").join(degree, "rep", "left")
     return (
         members.join(classes, "rep", "left")
         .where("component is not null or copies > 1")
-        .select("note_id", F.coalesce("component", "rep").alias("class_id"), F.coalesce("links", F.lit(0).cast("bigint")).alias("links"))
+        .select("note_id", F.coalesce("component", "rep").alias("class_id"), (F.coalesce("near", F.lit(0).cast("bigint")) + F.col("copies") - 1).alias("links"))
     )
 
 
-def group_pairs(groups: DataFrame, slices: int = 16) -> DataFrame:
+def group_pairs(groups: DataFrame, rows: int = 1000) -> DataFrame:
     """(left_note_id, right_note_id) of all pairs of a class, the smaller id first.
 
-    The result is defined as all pairs, so its size is the sum of squares of the class sizes; one
-    side is spread over `slices` so that a large class is shared out among tasks.
+    The result is defined as all pairs, so its size is the sum of squares of the class sizes. A class
+    of more than `rows` records has its left side cut into slices of about so many, each with a copy
+    of the class on the right: a task makes the pairs of one slice.
     """
-    left = groups.select("class_id", F.col("note_id").alias("left_note_id"), F.pmod(F.xxhash64("note_id"), F.lit(slices)).alias("slice"))
-    right = groups.select("class_id", F.col("note_id").alias("right_note_id"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(slices - 1).cast("bigint"))).alias("slice"))
+    sizes = groups.groupBy("class_id").agg(F.count("*").alias("size")).where(F.col("size") > rows)
+    slices = F.coalesce(F.ceil(F.col("size") / rows), F.lit(1).cast("bigint"))
+    sized = groups.join(sizes, "class_id", "left").select("class_id", "note_id", slices.alias("slices"))
+    left = sized.select("class_id", F.col("note_id").alias("left_note_id"), F.pmod(F.xxhash64("note_id"), F.col("slices")).alias("slice"))
+    right = sized.select("class_id", F.col("note_id").alias("right_note_id"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("slices") - 1)).alias("slice"))
     return left.join(right, ["class_id", "slice"]).where("left_note_id < right_note_id").select("left_note_id", "right_note_id")

@@ -140,6 +140,9 @@ def test_groups_match_brute_force(spark):
                 root[find(j)] = find(i)
     want = {(i, j) for i in sets for j in sets if i < j and find(i) == find(j)}
     assert pairs == want and want
+    near = {i: sum(j != i and len(a & b) / len(a | b) >= 0.7 for j, b in sets.items()) for i, a in sets.items()}
+    assert {r["note_id"]: r["links"] for r in near_duplicates.near_groups(df, tile=16).collect()} == {i: n for i, n in near.items() if n}
+    assert {tuple(r) for r in near_duplicates.group_pairs(near_duplicates.near_groups(df), rows=2).collect()} == want
     assert near_duplicates.near_groups(df.limit(0)).count() == 0
 
 
