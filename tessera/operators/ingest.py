@@ -131,9 +131,20 @@ def chosen_pairs(discoveries: DataFrame, edges: DataFrame, sources: DataFrame) -
     return marked.withColumn("n", F.row_number().over(first)).where("n = 1").select("id", "l", "r")
 
 
-def confirmed(notes: DataFrame, links: DataFrame) -> DataFrame:
-    """notes(note_id, links) with confirmed links (note_id, title) added once, at the end."""
-    added = links.groupBy("note_id").agg(F.array_sort(F.collect_set("title")).alias("more"))
+def confirmed(notes: DataFrame, links: DataFrame, explanation: str | None = None, confirmed_at: str | None = None) -> DataFrame:
+    """notes(note_id, links, relationships) with confirmed links (note_id, title, type) added once, at the end.
+
+    With an explanation each also gets a relationship of its type; one to the same target and of the same
+    type is replaced. A page gains few links at a time, so its lists stay bounded.
+    """
+    added = links.groupBy("note_id").agg(F.array_sort(F.collect_set("title")).alias("more"), *([F.array_sort(F.collect_set(F.struct("title", "type"))).alias("_r")] if explanation else []))
     joined = notes.join(added, "note_id", "left")
     empty = F.array().cast("array<string>")
-    return joined.withColumn("links", X.distinct_ignoring_case(F.concat(F.coalesce("links", empty), F.coalesce("more", empty)))).drop("more")
+    out = joined.withColumn("links", F.when(F.col("more").isNull(), F.col("links")).otherwise(X.distinct_ignoring_case(F.concat(F.coalesce("links", empty), F.coalesce("more", empty)))))
+    if explanation:
+        kind = notes.schema["relationships"].dataType
+        known = {"explanation": F.lit(explanation), "confirmedAt": F.lit(confirmed_at)}
+        fresh = F.transform("_r", lambda r: F.struct(*(r["title"].alias("target") if f.name == "target" else r["type"].alias("type") if f.name == "type" else known.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in kind.elementType.fields)))
+        old = F.filter(F.coalesce("relationships", F.array().cast(kind)), lambda o: ~F.exists("_r", lambda r: (F.lower(r["title"]) == F.lower(o["target"])) & (r["type"] == o["type"])))
+        out = out.withColumn("relationships", F.when(F.col("_r").isNull(), F.col("relationships")).otherwise(F.concat(old, fresh.cast(kind))))
+    return out.select(*notes.columns)

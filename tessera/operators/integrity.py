@@ -67,21 +67,6 @@ def verify(notes: DataFrame, sources: DataFrame, provenance: DataFrame) -> DataF
     return reduce(DataFrame.unionByName, (shared, lacking, unknown, broken, hashes))
 
 
-def undo(notes: DataFrame, provenance: DataFrame, changes: DataFrame, source_id: int) -> tuple[DataFrame, DataFrame]:
-    """The notes and provenance after undoing an ingest.
-
-    changes(note_id, action, before_title, before_body): new pages go, others get their earlier text
-    back; the ingest's provenance rows go. The source itself stays.
-    """
-    gone = changes.where("action = 'new'").select("note_id")
-    back = changes.where("action <> 'new'").select("note_id", "before_title", "before_body", F.lit(True).alias("_back"))
-    kept = notes.join(gone, "note_id", "left_anti").join(back, "note_id", "left")
-    restored = kept.withColumns({c: F.when(F.col("_back"), F.col(f"before_{c}")).otherwise(F.col(c)) for c in ("title", "body")})
-    touched = changes.select("note_id").withColumn("source_id", F.lit(source_id).cast("bigint"))
-    left = provenance.join(touched, ["note_id", "source_id"], "left_anti").join(gone, "note_id", "left_anti")
-    return restored.select(*notes.columns), left
-
-
 def grouped_targets(decisions: DataFrame) -> DataFrame:
     """(existing_id, incoming, action): one rewrite for each target page; a contradiction outweighs merges."""
     rows = decisions.where("existing_id is not null")
@@ -138,42 +123,85 @@ def write_archive(manifest_rows, content_of, out) -> int:
 
 
 def replace_snapshot(df: DataFrame, folder: str, version: str) -> str:
-    """Writes the next snapshot beside the last and then points to it: readers see the old or the new one, never a part."""
+    """Writes the next snapshot beside the last and then names it current: readers see the old or the new one, never a part or none.
+
+    A snapshot counts once its marker file is there; the newest marker, by number, is the current one. A marker is
+    created in one step and never replaced, so of two writers of one number the second fails.
+    """
     spark: SparkSession = df.sparkSession
     target = f"{folder}/v={version}"
     df.write.mode("errorifexists").parquet(target)
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    path = jvm.org.apache.hadoop.fs.Path
-    fs = path(folder).getFileSystem(conf)
-    pointer, fresh = path(f"{folder}/CURRENT"), path(f"{folder}/CURRENT.next")
-    stream = fs.create(fresh, True)
-    stream.write(bytearray(version.encode()))
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    markers = path(f"{folder}/CURRENT")
+    fs.mkdirs(markers)
+    taken = [int(x.getPath().getName().split("-", 1)[0]) for x in fs.listStatus(markers)]
+    stream = fs.create(path(f"{folder}/CURRENT/{max(taken, default=0) + 1:012d}-{version}"), False)
     stream.close()
-    fs.delete(pointer, False)
-    fs.rename(fresh, pointer)
     return target
 
 
 def current_snapshot(spark: SparkSession, folder: str) -> DataFrame:
-    version = spark.read.text(f"{folder}/CURRENT").first()[0]
-    return spark.read.parquet(f"{folder}/v={version}")
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    markers = path(f"{folder}/CURRENT")
+    names = [x.getPath().getName() for x in markers.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(markers)]
+    return spark.read.parquet(f"{folder}/v={max(names).split('-', 1)[1]}")
+
 
+def write_files(files: DataFrame, folder: str) -> None:
+    """Writes files(path, content), strings, under a folder, each as a file of its own; the executors write. The folder is a path or URI that they share."""
+    root = folder if ":" in folder.split("/")[0] else f"file://{folder}"
+    root = root.replace("file:/", "file:///", 1) if root.startswith("file:/") and not root.startswith("file://") else root
 
-def archived_sources(spark: SparkSession, folder: str) -> DataFrame:
-    """(content_hash, title, sourceUrl, sourceType, text, problem) of an archive folder sources/<hash>/{meta.json,source.txt}.
+    def write(rows):
+        import pyarrow.fs as pafs
 
-    problem names a folder whose name, metadata and content hash do not agree.
+        system, base = pafs.FileSystem.from_uri(root)
+        for row in rows:
+            target = f"{base}/{row['path']}"
+            system.create_dir(target.rsplit("/", 1)[0], recursive=True)
+            with system.open_output_stream(target) as out:
+                out.write(row["content"].encode())
+
+    files.foreachPartition(write)
+
+
+ALLOWED_FILES = ("meta.json", "source.txt", "summary.md")
+
+
+def archived_sources(spark: SparkSession, folder: str, strict: bool = False, expected: DataFrame | None = None, most: int = 0, most_bytes: int = 0) -> DataFrame:
+    """(content_hash, title, sourceUrl, sourceType, text, problem) of an archive folder sources/<hash>/{meta.json,source.txt,summary.md,original.*}.
+
+    problem names a folder whose name, metadata and content hash do not agree; strict also those with
+    another file. expected(content_hash, text_hash) gives the hash of the extracted text where it is not the
+    source's own. An archive of more than `most` sources or `most_bytes` (0: no bound) is an error.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{folder}/sources")
+    if most or most_bytes:
+        size = files.agg(F.countDistinct(F.regexp_extract("path", r"/sources/([^/]+)/", 1)).alias("n"), F.sum("length").alias("bytes")).first()
+        if (most and size["n"] > most) or (most_bytes and (size["bytes"] or 0) > most_bytes):
+            raise ValueError("the archive is larger than its bounds")
     at = F.regexp_extract("path", r"/sources/([^/]+)/([^/]+)$", 1)
     named = files.select(at.alias("dir"), F.regexp_extract("path", r"/([^/]+)$", 1).alias("file"), "content")
-    meta = named.where("file = 'meta.json'").select("dir", F.from_json(F.col("content").cast("string"), "contentHash string, title string, sourceUrl string, sourceType string").alias("m"))
-    text = named.where("file = 'source.txt'").select("dir", F.col("content").cast("string").alias("text"), F.sha2(F.col("content"), 256).alias("computed"))
-    has_original = named.where("file like 'original.%'").select("dir", F.sha2(F.col("content"), 256).alias("original"))
-    joined = meta.join(text, "dir", "full_outer").join(has_original, "dir", "left")
-    identity = F.coalesce("original", "computed")
-    problem = F.when(F.col("m").isNull(), "missing_metadata").when(F.col("text").isNull(), "missing_text").when((F.col("dir") != F.col("m.contentHash")) | (F.col("m.contentHash") != identity), "hash_mismatch")
-    return joined.select(F.col("dir").alias("content_hash"), "m.title", "m.sourceUrl", "m.sourceType", "text", problem.alias("problem"))
+    content = lambda name: F.max(F.when(F.col("file") == name, F.col("content")))
+    other = ~F.col("file").isin(*ALLOWED_FILES) & ~F.col("file").startswith("original.")
+    # One pass: a folder holds a few files.
+    whole = named.groupBy("dir").agg(
+        F.from_json(content("meta.json").cast("string"), "contentHash string, title string, sourceUrl string, sourceType string").alias("m"), content("source.txt").alias("source"),
+        F.max(F.when(F.col("file").startswith("original."), F.sha2("content", 256))).alias("original"), F.max(other).alias("other"),
+    )
+    joined = whole.join(expected.select(F.col("content_hash").alias("dir"), "text_hash"), "dir", "left") if expected is not None else whole.withColumn("text_hash", F.lit(None).cast("string"))
+    computed = F.sha2("source", 256)
+    identity = F.when(F.col("text_hash").isNotNull(), F.when(computed == F.col("text_hash"), F.col("dir"))).otherwise(F.coalesce("original", computed))
+    agrees = (F.col("dir") == F.col("m.contentHash")) & F.col("m.contentHash").eqNullSafe(identity)
+    problem = F.when(F.col("m").isNull(), "missing_metadata").when(F.col("source").isNull(), "missing_text").when(~F.coalesce(agrees, F.lit(False)), "hash_mismatch").when(F.lit(strict) & F.col("other"), "unexpected_file")
+    return joined.select(F.col("dir").alias("content_hash"), "m.title", "m.sourceUrl", "m.sourceType", F.col("source").cast("string").alias("text"), problem.alias("problem"))
+
+
+def in_archive_order(archived: DataFrame, history: DataFrame) -> DataFrame:
+    """Archived sources with archived_at, the time of their first ingest in history(source_hash, applied_at), in that order, then by hash; those without one come last."""
+    first = first_applied(history).withColumnRenamed("source_hash", "content_hash")
+    return archived.join(first, "content_hash", "left").orderBy(F.col("archived_at").asc_nulls_last(), "content_hash")
 
 
 def vault_notes(spark: SparkSession, folder: str) -> DataFrame:

@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-PARTS = ("retrieval", "knowledge", "records", "reviewing", "upkeep", "general_queries")
+PARTS = ("retrieval", "knowledge", "records", "reviewing", "upkeep", "lifecycle", "general_queries")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -373,20 +373,15 @@ def i12_proposal_problems(spark, sf_dir):
     return integrity.proposal_problems(rows.select((F.col("source_id") % 40).alias("proposal_id"), "note_id", F.lit(None).cast("string").alias("title")))
 
 
-@query("SELECT least(source_note_id, target_note_id) AS a, greatest(source_note_id, target_note_id) AS b, count(*) AS rows FROM links GROUP BY 1, 2")
-def i20_link_migration(spark, sf_dir):
-    return table(spark, sf_dir, "links").groupBy(F.least("source_note_id", "target_note_id").alias("a"), F.greatest("source_note_id", "target_note_id").alias("b")).agg(F.count("*").alias("rows"))
-
-
 @query("SELECT content_hash, min(source_id) AS source_id, count(DISTINCT source_id) AS copies FROM sources GROUP BY 1")
 def k1_archive_sink(spark, sf_dir):
     return duplicates.first_of_each(table(spark, sf_dir, "sources"), "content_hash", "source_id")
 
 
-@query(f"WITH {N}, f AS (SELECT file_path AS path, coalesce(body, '') AS content FROM n) SELECT path, octet_length(encode(content)) AS size, sha256(content) AS hash FROM f WHERE octet_length(encode(path)) <= 100")
+@query(f"WITH {N}, f AS (SELECT file_path AS path, coalesce(body, '') AS content FROM n) SELECT path, octet_length(encode(content)) AS size, sha256(content) AS hash FROM f")
 def k5_export_manifest(spark, sf_dir):
     files = notes(spark, sf_dir).select(F.col("file_path").alias("path"), F.coalesce("body", F.lit("")).cast("binary").alias("content"))
-    return integrity.export_manifest(files).where("prefix = ''").select("path", "size", "hash")
+    return integrity.export_manifest(files).select("path", "size", "hash")
 
 
 # ---- ledgers and streams --------------------------------------------------------------------
@@ -414,6 +409,7 @@ def r6_stream_dedup(spark, sf_dir):
     return arrivals.run_to_table(arrivals.new_sources(stream))
 
 
-@query("SELECT event_type, count(*) AS events, count(DISTINCT user_id) AS users FROM events GROUP BY 1")
+@query("SELECT event_id, 'event: ' || event_type || chr(10) || 'data: {\"user_id\":' || user_id || ',\"event_id\":' || event_id || '}' || chr(10) || chr(10) AS message FROM events")
 def r1_event_log(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("events"), F.countDistinct("user_id").alias("users"))
+    stream = arrivals.stream_table(spark, sf_dir, "events").select("event_id", arrivals.event_message(F.col("event_type"), F.struct("user_id", "event_id")).alias("message"))
+    return arrivals.run_to_table(stream)

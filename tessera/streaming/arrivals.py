@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.session import ensure_checkpoint_dir
@@ -58,6 +58,11 @@ def run_to_table(stream: DataFrame, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
 
 
+def event_message(name: Column, data: Column) -> Column:
+    """A progress event as a server-sent message: its name and its data as JSON on one line."""
+    return F.concat(F.lit("event: "), name, F.lit("\ndata: "), F.to_json(data), F.lit("\n\n"))
+
+
 def admission(active: set[str], waiting: list[str], identity: str, most: int = 4) -> str:
     """start, wait or refuse: one active run for all, at most `most` waiting, one for each identity."""
     if identity in active or identity in waiting:

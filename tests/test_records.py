@@ -104,11 +104,6 @@ def test_journal_undo_and_diff(spark):
     steps = integrity.classify_journal(journal, now)
     assert {tuple(r) for r in steps.collect()} == {("a", "done"), ("c", "conflict"), ("d", "apply")}
     assert not integrity.may_commit(steps)
-    notes = spark.createDataFrame([(1, "new", "n"), (2, "changed", "n")], "note_id bigint, title string, body string")
-    prov = spark.createDataFrame([(1, 5), (2, 5), (2, 6)], "note_id bigint, source_id bigint")
-    changes = spark.createDataFrame([(1, "new", None, None), (2, "merge", "old", "o")], "note_id bigint, action string, before_title string, before_body string")
-    left, kept = integrity.undo(notes, prov, changes, 5)
-    assert [tuple(r) for r in left.collect()] == [(2, "old", "o")] and [tuple(r) for r in kept.collect()] == [(2, 6)]
 
 
 def test_export_and_snapshots(spark, tmp_path):
@@ -140,6 +135,14 @@ def test_archive_scans(spark, tmp_path):
         (d / "source.txt").write_bytes(b"text")
     got = {r["content_hash"]: r["problem"] for r in integrity.archived_sources(spark, str(tmp_path)).collect()}
     assert got == {good: None, "b" * 64: "hash_mismatch"}
+    (tmp_path / "sources" / good / "extra.bin").write_bytes(b"x")
+    assert {r["problem"] for r in integrity.archived_sources(spark, str(tmp_path), strict=True).collect()} == {"unexpected_file", "hash_mismatch"}
+    with pytest.raises(ValueError):
+        integrity.archived_sources(spark, str(tmp_path), most=1)
+    with pytest.raises(ValueError):
+        integrity.archived_sources(spark, str(tmp_path), most_bytes=10)
+    when = spark.createDataFrame([("b" * 64, "2025-01-01")], "source_hash string, applied_at string")
+    assert [r["content_hash"] for r in integrity.in_archive_order(integrity.archived_sources(spark, str(tmp_path)), when).collect()] == ["b" * 64, good]
     (tmp_path / "log.md").write_text(f"## x\n- Source SHA-256: `{good}`\n- Source SHA-256: `{good}`\n")
     assert [r[0] for r in integrity.logged_hashes(spark, str(tmp_path / "log.md")).collect()] == [good]
     (tmp_path / "history" / "h1").mkdir(parents=True)
