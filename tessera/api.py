@@ -124,7 +124,7 @@ def stage_sources(vault: Vault, arriving: DataFrame) -> DataFrame:
 
 def integrate(vault: Vault, incoming: DataFrame, decisions: DataFrame) -> DataFrame:
     """Safeguarded decisions for incoming notes (note_id, title, body) given a model's decisions."""
-    found = duplicates.strongest_duplicate(duplicates.duplicate_scores(incoming, vault.notes))
+    found = duplicates.strongest_of(incoming, vault.notes)
     both = vault.notes.select("note_id", "title", "body").unionByName(incoming.select("note_id", "title", "body"))
     return duplicates.safeguarded(decisions, found, both)
 

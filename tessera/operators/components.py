@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessera.session import cut_lineage
 
 
-def connected_components(edges: DataFrame, left: str = "src", right: str = "dst", max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, left: str = "src", right: str = "dst") -> DataFrame:
     """(node, component): component is the smallest node id reachable over edges, ignoring direction.
 
     Nulls, self edges and repeated edges change nothing; an empty table gives an empty result.
@@ -17,7 +17,7 @@ def connected_components(edges: DataFrame, left: str = "src", right: str = "dst"
     pairs = edges.select(F.col(left).alias("a"), F.col(right).alias("b")).where("a is not null and b is not null and a <> b")
     both = cut_lineage(pairs.union(pairs.select("b", "a")).distinct())
     labels = cut_lineage(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")))
-    for _ in range(max_rounds):
+    while True:  # labels only fall, so this ends
         near = both.join(labels, both["b"] == labels["node"]).groupBy(F.col("a")).agg(F.min("component").alias("low"))
         merged = labels.join(near, labels["node"] == near["a"]).select("node", F.col("component").alias("old"), F.least("component", "low").alias("mid"))
         jump = labels.select(F.col("node").alias("at"), F.col("component").alias("further"))
@@ -28,4 +28,3 @@ def connected_components(edges: DataFrame, left: str = "src", right: str = "dst"
         labels = nxt.select("node", "component")
         if done:
             return labels
-    raise RuntimeError("components did not settle")

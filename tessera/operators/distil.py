@@ -118,7 +118,7 @@ def decided(incoming: DataFrame, candidates: DataFrame, notes: DataFrame, model:
     prompts = new.join(shown, "incoming_id").select("incoming_id", F.concat(F.lit('New, merge or contradict? JSON {"decisions": [{"action", "existing_id"}]}\n\n'), "text", F.lit("\n\n"), "pages").alias("prompt"))
     said = replies(prompts, ("incoming_id",), model, "decisions").select("incoming_id", F.get(F.from_json("reply", "decisions array<struct<action:string,existing_id:bigint>>")["decisions"], F.lit(0)).alias("d")).select("incoming_id", "d.*")
     complete = providers.completed_decisions(new, said.where("action is not null"), candidates)
-    found = duplicates.strongest_duplicate(duplicates.duplicate_scores(incoming, notes))
+    found = duplicates.strongest_of(incoming, notes)
     texts = notes.select("note_id", "title", "body").unionByName(incoming.select("note_id", "title", "body"))
     return duplicates.safeguarded(complete, found, texts)
 

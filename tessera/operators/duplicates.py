@@ -65,6 +65,22 @@ def strongest_duplicate(scores: DataFrame) -> DataFrame:
     return ranked.where(clear).select("incoming_id", "existing_id", "score")
 
 
+def strongest_of(incoming: DataFrame, existing: DataFrame) -> DataFrame:
+    """strongest_duplicate(duplicate_scores(incoming, existing)) without listing all notes of a shared title.
+
+    A note of the same title settles it: only the two lowest ids of each title are looked at, however
+    many notes share it. Scores are computed for incoming notes without such a match alone.
+    """
+    keyed = lambda df, key: df.select(F.col("note_id").alias(key), F.array_join(T.terms(F.lower(F.coalesce("title", F.lit("")))), " ").alias("key"))
+    order = Window.partitionBy("key").orderBy("existing_id")
+    lowest = keyed(existing, "existing_id").withColumn("n", F.row_number().over(order)).where("n <= 2").groupBy("key").agg(F.array_sort(F.collect_list("existing_id")).alias("ids"))
+    other = F.get(F.filter("ids", lambda i: i != F.col("incoming_id")), F.lit(0))
+    same = cut_lineage(keyed(incoming, "incoming_id").join(lowest, "key", "left").select("incoming_id", other.alias("existing_id")))
+    settled = same.where("existing_id is not null").select("incoming_id", "existing_id", F.lit(SAME).alias("score"))
+    rest = incoming.join(same.where("existing_id is null").select(F.col("incoming_id").alias("note_id")), "note_id", "left_semi")
+    return settled.unionByName(strongest_duplicate(duplicate_scores(rest, existing)))
+
+
 def safeguarded(decisions: DataFrame, duplicates: DataFrame, notes: DataFrame) -> DataFrame:
     """(incoming_id, action, existing_id) from model decisions (incoming_id, action, existing_id) and duplicate matches.
 

@@ -11,6 +11,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,26 +63,27 @@ def nearest_of_all(left: DataFrame, right: DataFrame, k: int, least: float = -2.
         ids = [p.column("id").to_numpy() for p in parts]
         units = []
         for p in parts:
-            m = np.array(p.column("v").to_pylist(), dtype=np.float64)
+            m = p.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(p.num_rows, -1).astype(np.float64)
             units.append(m / np.linalg.norm(m, axis=1, keepdims=True))
-        members: list[dict[int, list[int]]] = []
+        # The second part's rows by group, for the rows of a block to look up.
         if apart:
+            sides = []
             for p in parts:
-                of: dict[int, list[int]] = {}
-                for row, groups in enumerate(p.column("groups").to_pylist()):
-                    for g in groups or []:
-                        of.setdefault(g, []).append(row)
-                members.append(of)
+                groups = p.column("groups").combine_chunks()
+                owner = np.repeat(np.arange(p.num_rows), pa.compute.fill_null(pa.compute.list_value_length(groups), 0).to_numpy())
+                sides.append((groups.flatten().to_numpy(zero_copy_only=False), owner))
+            sides[1] = tuple(x[np.argsort(sides[1][0], kind="stable")] for x in sides[1])
         out = []
         for a in range(0, len(ids[0]), 1024):
             b = min(len(ids[0]), a + 1024)
             sims = np.round(units[0][a:b] @ units[1].T, 12)
             sims[ids[0][a:b, None] == ids[1][None, :]] = -np.inf
             if apart:
-                for g, rows in members[0].items():
-                    mine = [r - a for r in rows if a <= r < b]
-                    if mine and g in members[1]:
-                        sims[np.ix_(mine, members[1][g])] = -np.inf
+                mine = (sides[0][1] >= a) & (sides[0][1] < b)
+                low, high = (np.searchsorted(sides[1][0], sides[0][0][mine], side=s) for s in ("left", "right"))
+                n = high - low
+                rows_of = np.repeat(sides[0][1][mine] - a, n)
+                sims[rows_of, sides[1][1][np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]] = -np.inf
             sims[sims <= least] = -np.inf
             if sims.shape[1] > k:
                 floor = -np.partition(-sims, k - 1, axis=1)[:, k - 1 : k]

@@ -112,7 +112,7 @@ def j21_duplicate_scores(spark, sf_dir):
 @query(f"WITH {N}, {KD}, {DS} SELECT incoming_id, existing_id, round(score, 6)::DOUBLE AS score FROM sd")
 def d4_strongest_duplicate(spark, sf_dir):
     base = notes(spark, sf_dir)
-    return _rounded(duplicates.strongest_duplicate(duplicates.duplicate_scores(incoming(base), base)), "score")
+    return _rounded(duplicates.strongest_of(incoming(base), base), "score")
 
 
 def numbers_sql(c: str) -> str:
@@ -157,7 +157,7 @@ def d7_decisions(spark, sf_dir):
     kind = F.col("incoming_id") % 3
     decisions = of.select("incoming_id", F.when(kind == 0, "new").when(kind == 1, "merge").otherwise("contradict").alias("action"), F.when(kind > 0, F.col("low")).alias("existing_id"))
     decided = base.join(decisions.select(F.col("incoming_id").alias("note_id")), "note_id", "left_semi")
-    found = duplicates.strongest_duplicate(duplicates.duplicate_scores(decided, base))
+    found = duplicates.strongest_of(decided, base)
     return duplicates.safeguarded(decisions, found, base)
 
 
