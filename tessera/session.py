@@ -57,11 +57,11 @@ def parallelism(spark: SparkSession, per_core: int = 3) -> int:
 def spread(df: DataFrame, key: str) -> DataFrame:
     """df for work that is heavy for its bytes: hashed over all cores if its scan has too few splits for them.
 
-    A scan of many splits stays as it is, so large inputs are not shuffled.
+    A scan with a split for each core stays as it is, so large inputs are not shuffled.
     """
     spark, plan = df.sparkSession, df._jdf.queryExecution()
     # A plan with shuffles would have to run before its partitions are known; only a plain scan is asked.
     plain = not plan.executedPlan().nodeName().startswith("AdaptiveSparkPlan")
-    if plain and plan.toRdd().getNumPartitions() >= 2 * spark.sparkContext.defaultParallelism:
+    if plain and plan.toRdd().getNumPartitions() >= spark.sparkContext.defaultParallelism:
         return df
     return df.repartition(parallelism(spark), key)
