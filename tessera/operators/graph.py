@@ -117,6 +117,13 @@ def layout(edges: DataFrame) -> DataFrame:
     )
 
 
+def fitted(nodes: DataFrame, width: float, height: float, most: float = 4.0) -> DataFrame:
+    """(points, min_x, max_x, min_y, max_y, scale): the box of nodes(x, y) and the scale at which it fits a frame; an axis without extent counts as 1."""
+    box = nodes.agg(F.count("*").alias("points"), *(f(c).cast("double").alias(f"{n}_{c}") for c in ("x", "y") for n, f in (("min", F.min), ("max", F.max))))
+    span = lambda a: F.greatest(F.lit(1.0), F.col(f"max_{a}") - F.col(f"min_{a}"))
+    return box.withColumn("scale", F.least(F.lit(float(width)) / span("x"), F.lit(float(height)) / span("y"), F.lit(float(most))))
+
+
 #: The multiplier, increment and usual seed of the layout's generator.
 MULTIPLIER, INCREMENT, SEED = 1_664_525, 1_013_904_223, 0x517A2F19
 

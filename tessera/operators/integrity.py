@@ -166,6 +166,52 @@ def write_files(files: DataFrame, folder: str) -> None:
     files.foreachPartition(write)
 
 
+def _remove(folder: str, paths: list[str]) -> None:
+    import pyarrow.fs as pafs
+
+    system, base = pafs.FileSystem.from_uri(folder if ":" in folder.split("/")[0] else f"file://{folder}")
+    for path in paths:
+        system.delete_file(f"{base}/{path}")
+
+
+def current_files(spark: SparkSession, folder: str, paths: DataFrame) -> DataFrame:
+    """(path, hash) of those of paths(path) that are files under the folder."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    base = folder.split(":", 1)[-1].rstrip("/").replace("//", "/")
+    named = files.select(F.substring_index("path", f"{base}/", -1).alias("path"), F.sha2("content", 256).alias("hash"))
+    return named.join(paths.select("path").distinct(), "path", "left_semi")
+
+
+def prepare_operation(changes: DataFrame, journal: str) -> DataFrame:
+    """Stores the journal of changes(path, before, after), texts with null for no file, before any file is touched: (path, before_text, after_text, before, after)."""
+    digest = lambda c: F.sha2(F.col(c), 256)
+    changes.select("path", F.col("before").alias("before_text"), F.col("after").alias("after_text"), digest("before").alias("before"), digest("after").alias("after")).write.mode("errorifexists").parquet(journal)
+    return changes.sparkSession.read.parquet(journal)
+
+
+def complete_operation(spark: SparkSession, folder: str, journal: str, back: bool = False) -> int:
+    """Brings the files of a stored journal forward, or back, and removes the journal; gives the number of files written or removed.
+
+    May be run again after a crash at any point: files that are done are left alone. A file that is neither as
+    before nor as after stops it with nothing changed. Files to remove are named to the driver: an operation has few.
+    """
+    rows = spark.read.parquet(journal)
+    if back:
+        rows = rows.select("path", F.col("after_text").alias("before_text"), F.col("before_text").alias("after_text"), F.col("after").alias("before"), F.col("before").alias("after"))
+    steps = classify_journal(rows, current_files(spark, folder, rows)).persist()
+    if not may_commit(steps):
+        raise RuntimeError("a file has changed since the operation began")
+    todo = rows.join(steps.where("step = 'apply'"), "path", "left_semi")
+    count = todo.count()
+    gone = [r["path"] for r in todo.where("after_text is null").select("path").collect()]
+    write_files(todo.where("after_text is not null").select("path", F.col("after_text").alias("content")), folder)
+    _remove(folder, gone)
+    steps.unpersist()
+    path = spark._jvm.org.apache.hadoop.fs.Path(journal)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return count
+
+
 ALLOWED_FILES = ("meta.json", "source.txt", "summary.md")
 
 

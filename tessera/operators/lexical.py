@@ -13,6 +13,8 @@ from tessera.session import cut_lineage
 
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
 
+SLICES = 8  # of a term's postings
+
 
 def parse_query(query: str) -> list[str]:
     """The terms of a search: NFKC, lower case, distinct, the first 16, without stop words unless all are."""
@@ -102,7 +104,10 @@ def integration_candidates(docs: DataFrame, seeds: DataFrame, id_col: str = "not
     hits = cut.select(id_col, "dl", F.explode("terms").alias("term")).join(wanted.select("term").distinct(), "term", "left_semi")
     used = cut_lineage(hits.groupBy(id_col, "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl")))
     freq = used.groupBy("term").agg(F.count("*").alias("df"))
-    weighed = used.join(freq, "term").select("term", id_col, term_score(idf(n, F.col("df")), F.col("tf"), F.col("dl"), avgdl).alias("part"))
-    scored = wanted.join(weighed, "term").groupBy("seed_id", id_col).agg(F.sum("part").alias("score"))
+    # A frequent term's postings are shared out over slices; the seeds' few terms are repeated instead.
+    asked = wanted.join(freq, "term").withColumn("slice", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SLICES - 1).cast("bigint"))))
+    part = term_score(idf(n, F.col("df")), F.col("tf"), F.col("dl"), avgdl).alias("part")
+    weighed = used.withColumn("slice", F.pmod(F.xxhash64(id_col), F.lit(SLICES))).join(asked, ["term", "slice"]).select("seed_id", id_col, part)
+    scored = weighed.groupBy("seed_id", id_col).agg(F.sum("part").alias("score"))
     order = Window.partitionBy("seed_id").orderBy(F.round("score", 9).desc(), id_col)
     return scored.withColumn("position", F.row_number().over(order)).where(F.col("position") <= limit)

@@ -68,6 +68,21 @@ def _without_pages(catalogue: Catalogue, touched: DataFrame) -> Catalogue:
     return replace(catalogue, vectors=catalogue.vectors.join(ids.withColumnRenamed("note_id", "id"), "id", "left_anti"), links=links.select(*catalogue.links.columns))
 
 
+def kept_links(links: DataFrame, notes: DataFrame) -> DataFrame:
+    """Links whose two ends are among notes(note_id)."""
+    out = links
+    for end in ("source_note_id", "target_note_id"):
+        out = out.join(notes.select(F.col("note_id").alias(end)).distinct(), end, "left_semi")
+    return out.select(*links.columns)
+
+
+def deleted(catalogue: Catalogue, gone: DataFrame) -> Catalogue:
+    """The catalogue without the pages gone(note_id) and all that hangs on them; sources stay."""
+    ids = gone.select("note_id").where("note_id is not null").distinct()
+    after = _without_pages(catalogue, ids)
+    return replace(after, notes=catalogue.notes.join(ids, "note_id", "left_anti").select(*catalogue.notes.columns), provenance=catalogue.provenance.join(ids, "note_id", "left_anti").select(*catalogue.provenance.columns))
+
+
 def undo(catalogue: Catalogue, history_id: str) -> tuple[Catalogue, DataFrame]:
     """(catalogue, conflicts) after undoing an ingest of catalogue.history; with any conflict the catalogue stays as it is.
 

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from tessera.functions import notes_text as X
 from tessera.functions import validation as VA
-from tessera.operators import discovery, graph, ingest, providers
+from tessera.operators import discovery, graph, ingest, integrity, lifecycle, providers
+from tessera.operators.ranking import ranked
 from tessera.plans.knowledge import DI, EV, discoveries
-from tessera.plans.records import FIRST_SOURCE, SRC, primary_sources, sources
+from tessera.plans.records import FIRST_SOURCE, HI, SRC, history, primary_sources, sources
 from tessera.plans.retrieval import GE, NS, N, edges, note_sources, notes
 from tessera.sources.tables import table
 
@@ -98,11 +99,8 @@ def i21_immutable_violations(spark, sf_dir):
 @query(f"WITH {N}, rm AS (SELECT DISTINCT record_id FROM removals WHERE record_kind = 'note'), l AS (SELECT DISTINCT source_note_id, target_note_id FROM links) SELECT source_note_id, target_note_id FROM l WHERE source_note_id IN (SELECT note_id FROM n) AND target_note_id IN (SELECT note_id FROM n) AND source_note_id NOT IN (SELECT record_id FROM rm) AND target_note_id NOT IN (SELECT record_id FROM rm)")
 def i17_delete_cascade(spark, sf_dir):
     removed = table(spark, sf_dir, "removals").where("record_kind = 'note' and record_id is not null").select(F.col("record_id").alias("note_id")).distinct()
-    kept = notes(spark, sf_dir).select("note_id").join(removed, "note_id", "left_anti")
     links = table(spark, sf_dir, "links").select("source_note_id", "target_note_id").distinct()
-    for end in ("source_note_id", "target_note_id"):
-        links = links.join(kept.withColumnRenamed("note_id", end), end, "left_semi")
-    return links.select("source_note_id", "target_note_id")
+    return lifecycle.kept_links(links, notes(spark, sf_dir).select("note_id").join(removed, "note_id", "left_anti"))
 
 
 @query(
@@ -130,16 +128,23 @@ def a18_evidence_summary(spark, sf_dir):
     return rows.select("note_id", *(F.coalesce(c, zero).alias(c) for c in ("explicit", "semantic", "sources")))
 
 
-@query("SELECT count(*) AS points, round(min(s_acctbal), 6) AS min_x, round(max(s_acctbal), 6) AS max_x, round(min(s_suppkey), 6)::DOUBLE AS min_y, round(max(s_suppkey), 6)::DOUBLE AS max_y, round(least(800 / greatest(1, max(s_acctbal) - min(s_acctbal)), 600 / greatest(1, max(s_suppkey) - min(s_suppkey)), 4), 6)::DOUBLE AS scale FROM supplier")
+# Nodes lie by their numbers of links of each kind, with an offset by id.
+@query(
+    f"""WITH {N}, {NS}, {GE}, dg AS (SELECT node, count(DISTINCT other) FILTER (kind = 'explicit') AS e, count(DISTINCT other) FILTER (kind = 'semantic') AS s FROM inc GROUP BY 1), p AS (SELECT 40 * e + note_id % 13 AS x, 25 * s - note_id % 7 AS y FROM n JOIN dg ON node = note_id)
+  SELECT count(*) AS points, min(x)::DOUBLE AS min_x, max(x)::DOUBLE AS max_x, min(y)::DOUBLE AS min_y, max(y)::DOUBLE AS max_y, round(least(800 / greatest(1, max(x) - min(x)), 600 / greatest(1, max(y) - min(y)), 4), 6)::DOUBLE AS scale FROM p"""
+)
 def a15_bounding_box(spark, sf_dir):
-    box = table(spark, sf_dir, "supplier").agg(F.count("*").alias("points"), *(f(c).cast("double").alias(n) for n, f, c in (("min_x", F.min, "s_acctbal"), ("max_x", F.max, "s_acctbal"), ("min_y", F.min, "s_suppkey"), ("max_y", F.max, "s_suppkey"))))
-    span = lambda a: F.greatest(F.lit(1.0), F.col(f"max_{a}") - F.col(f"min_{a}"))
-    return box.withColumn("scale", F.round(F.least(800 / span("x"), 600 / span("y"), F.lit(4.0)), 6)).withColumns({c: F.round(c, 6) for c in ("min_x", "max_x", "min_y", "max_y")})
+    inc = graph.incident(edges(spark, sf_dir))
+    of = lambda kind: F.countDistinct(F.when(F.col("kind") == kind, F.col("other")))
+    degree = inc.groupBy(F.col("node").alias("note_id")).agg(of("explicit").alias("e"), of("semantic").alias("s")).join(notes(spark, sf_dir).select("note_id"), "note_id", "left_semi")
+    return graph.fitted(degree.select((40 * F.col("e") + F.col("note_id") % 13).alias("x"), (25 * F.col("s") - F.col("note_id") % 7).alias("y")), 800, 600).withColumn("scale", F.round("scale", 6))
 
 
-@query(f"WITH {SRC} SELECT DISTINCT source_type, count(*) OVER (PARTITION BY source_type) AS sources, min(content_hash) OVER (PARTITION BY source_type) AS first_hash FROM sr")
-def s10_archive_by_type(spark, sf_dir):
-    return sources(spark, sf_dir).groupBy("source_type").agg(F.count("*").alias("sources"), F.min("content_hash").alias("first_hash"))
+@query(f"WITH {SRC}, {HI}, fa AS (SELECT source_hash, min(applied_at) AS t FROM hi GROUP BY 1) SELECT source_id, epoch_us(t) AS archived_at, row_number() OVER (ORDER BY t NULLS LAST, content_hash, source_id) AS position FROM sr LEFT JOIN fa ON source_hash = content_hash")
+def s10_archive_order(spark, sf_dir):
+    first = integrity.first_applied(history(spark, sf_dir)).withColumnRenamed("source_hash", "content_hash")
+    rows = sources(spark, sf_dir).select("source_id", "content_hash").join(first, "content_hash", "left")
+    return ranked(rows, [], [F.col("archived_at").asc_nulls_last(), F.col("content_hash"), F.col("source_id")]).select("source_id", F.unix_micros("archived_at").alias("archived_at"), "position")
 
 
 @query("WITH t AS (SELECT ingest_id, min(regexp_replace(regexp_replace(transcript, '\\r\\n?', chr(10), 'g'), '^\\s+|\\s+$', '', 'g')) AS t, min(title) AS title FROM ingest_results WHERE transcript IS NOT NULL GROUP BY 1) SELECT sha256(t) AS content_hash, count(*) AS copies, CASE WHEN len(t) = 0 THEN 'empty' WHEN len(t) > 20000 THEN 'too_long' ELSE '' END AS problem FROM t GROUP BY 1, 3")

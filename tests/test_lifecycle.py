@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera import api
-from tessera.operators import lifecycle
+from tessera.operators import integrity, lifecycle
 
 REL = "array<struct<target:string,type:string,explanation:string,significance:string,pageHashes:array<string>,confirmedAt:string>>"
 NOTE = f"note_id bigint, title string, type string, body string, tags array<string>, links array<string>, relationships {REL}, source_url string, source_type string, created_at timestamp"
@@ -123,3 +123,25 @@ def test_questions_findings_and_proposals(spark, vault):
     assert [tuple(r) for r in api.draft_proposal(draft, draft.withColumn("include", F.lit(False))).collect()] == [(1, False)]
     grown = api.rebuild_semantic(api.replace(vault, vectors=vault.vectors.where("id < 3")), lambda ts: [[1.0, 2.0] for _ in ts], 2)
     assert grown.vectors.count() == 3 and grown.links.columns == ["source_note_id", "target_note_id", "similarity"]
+
+
+def test_a_deleted_page_takes_all_with_it(spark, vault):
+    after = lifecycle.deleted(api._catalogue(vault), spark.createDataFrame([(2,), (None,)], "note_id bigint"))
+    assert texts(after) == {1: "first", 3: "third"} and after.links.count() == 0 and after.provenance.count() == 2 and after.vectors.count() == 2
+
+
+def test_a_journal_goes_forward_after_a_crash_and_back(spark, tmp_path):
+    folder, journal = str(tmp_path / "vault"), str(tmp_path / "journal")
+    integrity.write_files(spark.createDataFrame([("notes/a.md", "a"), ("notes/b.md", "b")], "path string, content string"), folder)
+    changes = spark.createDataFrame([("notes/a.md", "a", "A"), ("notes/b.md", "b", None), ("notes/c.md", None, "C")], "path string, before string, after string")
+    read = lambda: {p.name: p.read_text() for p in (tmp_path / "vault" / "notes").glob("*.md")}
+    integrity.prepare_operation(changes, journal)
+    (tmp_path / "vault" / "notes" / "c.md").write_text("C")  # a crash after the first file
+    assert integrity.complete_operation(spark, folder, journal) == 2 and read() == {"a.md": "A", "c.md": "C"}
+    integrity.prepare_operation(changes, journal)
+    assert integrity.complete_operation(spark, folder, journal, back=True) == 3 and read() == {"a.md": "a", "b.md": "b"}
+    integrity.prepare_operation(changes, journal)
+    (tmp_path / "vault" / "notes" / "a.md").write_text("edited")
+    with pytest.raises(RuntimeError):
+        integrity.complete_operation(spark, folder, journal)
+    assert read() == {"a.md": "edited", "b.md": "b"}
