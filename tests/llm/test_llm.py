@@ -443,7 +443,7 @@ def test_times_after_a_long_introduction(spark):
         ("Ada: the moon, vacuum and aaah of it", [(1, 7)]),
         # A timed part between a long introduction and a long rest, and a time of day at the head of a paragraph.
         ("\n".join(["words before the"] * 60 + [f"[0:{n:02}] {w}: said the" for n, w in ((3, "Ada"), (1, "Ben"), (2, "Cleo"))] + ["and after"] * 60), [(0, 180), (2, 2), (3, 122), (1, 2)]),
-        ("8:30 was the hour\nthen the rest\nAda: the word", [(0, 7), (1, 2)]),
+        ("8:30 was the hour\nthen the rest\nAda: the word", [(0, 8), (1, 2)]),
     ],
 )
 def test_turns_without_limits(spark, text, want):
