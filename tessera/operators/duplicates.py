@@ -12,27 +12,30 @@ SAME, TITLE, BODY, GAP = 4.0, 0.88, 0.88, 0.08
 
 
 def _keyed(notes: DataFrame, prefix: str) -> DataFrame:
-    """Columns of a side: id, normalised title key, title trigrams, body term set."""
+    """Columns of a side: id, normalised title key, and as 64-bit hashes the set of title trigrams and that of body terms."""
     title, body = F.coalesce("title", F.lit("")), F.coalesce("body", F.lit(""))
-    return notes.select(
-        F.col("note_id").alias(f"{prefix}_id"), F.array_join(T.terms(F.lower(title)), " ").alias(f"{prefix}_key"), T.trigrams(title).alias(f"{prefix}_grams"), F.array_distinct(T.terms(F.lower(body))).alias(f"{prefix}_terms")
-    )
+    hashed = lambda values, name: F.array_distinct(F.transform(values, lambda x: F.xxhash64(x))).alias(f"{prefix}_{name}")
+    return notes.select(F.col("note_id").alias(f"{prefix}_id"), F.array_join(T.terms(F.lower(title)), " ").alias(f"{prefix}_key"), hashed(T.trigrams(title), "grams"), hashed(T.terms(F.lower(body)), "terms"))
 
 
 def _pairs_by_sets(left: DataFrame, right: DataFrame, array: str, share: float) -> DataFrame:
-    """(l_id, r_id): a superset of the pairs in which the right set has at least `share` of the left set's entries.
+    """(l_id, r_id): a superset of the pairs whose sets share at least `share` of the entries of either.
 
-    Such a right set lacks few of the left set's entries, so it has one of the rarest
-    n - ceil(share * n) + 1 of them: only these are looked up.
+    In one order of all entries, the rarest first, such sets have an entry in common among the first
+    n - ceil(share * n) + 1 of each: only these are looked up, on both sides.
     """
     posted = right.select("r_id", F.size(f"r_{array}").alias("m"), F.explode(f"r_{array}").alias("entry"))
     mine = left.select("l_id", F.size(f"l_{array}").alias("n"), F.explode(f"l_{array}").alias("entry"))
-    frequency = posted.join(mine.select("entry").distinct(), "entry", "left_semi").groupBy("entry").agg(F.count("*").alias("df"))
-    order = Window.partitionBy("l_id").orderBy("df", "entry")
-    ranked = mine.join(frequency, "entry", "left").withColumn("df", F.coalesce("df", F.lit(0).cast("bigint"))).withColumn("r", F.row_number().over(order))
-    keep = F.col("n") - F.ceil(F.col("n") * share - 1e-9) + 1
+    # Aggregated before the shuffle; entries that the right side lacks come first.
+    frequency = posted.groupBy("entry").agg(F.count("*").alias("df"))
+
+    def first(rows: DataFrame, key: str, size: str) -> DataFrame:
+        weighed = rows.join(frequency, "entry", "left").withColumn("df", F.coalesce("df", F.lit(0).cast("bigint")))
+        keep = F.col(size) - F.ceil(F.col(size) * share - 1e-9) + 1
+        return weighed.withColumn("r", F.row_number().over(Window.partitionBy(key).orderBy("df", "entry"))).where(F.col("r") <= keep).select(key, size, "entry")
+
     close = F.least("n", "m") >= F.greatest("n", "m") * share - 1e-9  # similar sets are of similar size
-    return ranked.where(F.col("r") <= keep).select("l_id", "n", "entry").join(posted, "entry").where(close).select("l_id", "r_id").distinct()
+    return first(mine, "l_id", "n").join(first(posted, "r_id", "m"), "entry").where(close).select("l_id", "r_id").distinct()
 
 
 def duplicate_scores(incoming: DataFrame, existing: DataFrame) -> DataFrame:
@@ -43,18 +46,23 @@ def duplicate_scores(incoming: DataFrame, existing: DataFrame) -> DataFrame:
     means that a set shares at least t / (2 - t) of its entries. A note is no duplicate of itself.
     """
     left, right = cut_lineage(_keyed(incoming, "l")), cut_lineage(_keyed(existing, "r"))
-    same = left.join(right, F.col("l_key") == F.col("r_key")).select("l_id", "r_id")
-    pairs = same.union(_pairs_by_sets(left, right, "grams", TITLE / (2 - TITLE))).union(_pairs_by_sets(left, right, "terms", BODY)).distinct()
-    # Comparing sets is much work for few bytes: a fixed number of partitions, which the planner doesn't merge.
-    full = pairs.where("l_id <> r_id").join(left, "l_id").repartition(parallelism(incoming.sparkSession), "r_id").join(right, "r_id")
-    # Shared entries once for each pair: the similarities follow from these numbers.
-    common = lambda c: F.size(F.array_intersect(f"l_{c}", f"r_{c}"))
-    sizes = full.select("l_id", "r_id", (F.col("l_key") == F.col("r_key")).alias("same"), *(f(c).alias(f"{n}_{c}") for c in ("grams", "terms") for n, f in (("c", common), ("s", lambda c: F.size(f"l_{c}") + F.size(f"r_{c}")))))
-    sizes = sizes.repartition("l_id", "r_id")
-    titles = F.when(F.col("s_grams") > 0, 2 * F.col("c_grams") / F.col("s_grams")).otherwise(0.0)
-    bodies = F.when(F.col("c_terms") > 0, F.col("c_terms") / (F.col("s_terms") - F.col("c_terms"))).otherwise(0.0)
-    score = F.when(F.col("same"), SAME).when(titles >= TITLE, 3 + titles).when(bodies >= BODY, 2 + bodies)
-    return sizes.select(F.col("l_id").alias("incoming_id"), F.col("r_id").alias("existing_id"), score.alias("score")).where("score is not null")
+    ids = ("l_id", "r_id")
+    same = left.join(right, F.col("l_key") == F.col("r_key")).select(*ids, F.lit(SAME).alias("score"))
+
+    def alike(array: str, share: float, similarity) -> DataFrame:
+        """Candidate pairs with their number of shared entries turned into a similarity: a pair carries the one kind of set alone."""
+        pairs = _pairs_by_sets(left, right, array, share).where("l_id <> r_id")
+        # Comparing sets is much work for few bytes: a fixed number of partitions, which the planner doesn't merge.
+        full = pairs.join(left.select("l_id", f"l_{array}"), "l_id").repartition(parallelism(incoming.sparkSession), "r_id").join(right.select("r_id", f"r_{array}"), "r_id")
+        common = F.size(F.array_intersect(f"l_{array}", f"r_{array}"))
+        return full.select(*ids, common.alias("c"), (F.size(f"l_{array}") + F.size(f"r_{array}")).alias("s")).select(*ids, similarity(F.col("c"), F.col("s")).alias("t"))
+
+    titles = alike("grams", TITLE / (2 - TITLE), lambda c, s: F.when(s > 0, 2 * c / s).otherwise(0.0))
+    bodies = alike("terms", BODY, lambda c, s: F.when(s > 0, c / (s - c)).otherwise(0.0))
+    found = same.where("l_id <> r_id").unionByName(titles.where(F.col("t") >= TITLE).select(*ids, (3 + F.col("t")).alias("score")))
+    found = found.unionByName(bodies.where(F.col("t") >= BODY).select(*ids, (2 + F.col("t")).alias("score")))
+    # The kinds of score don't overlap, so the highest is that of the strongest kind.
+    return found.groupBy(F.col("l_id").alias("incoming_id"), F.col("r_id").alias("existing_id")).agg(F.max("score").alias("score"))
 
 
 def strongest_duplicate(scores: DataFrame) -> DataFrame:
