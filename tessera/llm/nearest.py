@@ -1,7 +1,9 @@
 """The most similar vectors of every vector along shifted space-filling curves.
 
-Each curve projects the unit vectors to a few coordinates (a random rotation within the leading
-principal directions), quantises them with its own shift and orders them by their Hilbert index.
+Each curve first puts the unit vectors into cells: the axis, with its sign, that is nearest in a random
+rotation of the whole space, so that all directions count. Within a cell it projects them to a few coordinates
+(a random rotation within the leading principal directions), quantises these with its own shift and orders
+the vectors by their Hilbert index.
 Only keys are shuffled for the ordering; each is numbered along its curve, and the curves are cut into
 slices of neighbouring rows. A slice also gets the `window` rows before and after it, so every row meets
 its whole window wherever the cuts fall. In a slice each block of rows is compared with its window
@@ -26,11 +28,11 @@ from pyspark.sql import functions as F
 from tessera.operators.ranking import ranked
 from tessera.session import cut_lineage, parallelism
 
-CURVES = 8
-WINDOW = 1024  # rows on each side of a row's block
+CURVES = 16
+WINDOW = 640  # rows on each side of a row's block
 BLOCK = 256
 COORDINATES = 8
-BITS = 7
+BITS = 6
 DIRECTIONS = 24
 FIT_ROWS = 20_000  # the bound of the sample that directions and quantiles are fitted on; every row is indexed
 SLICE_ROWS = 49_152  # the most rows of a slice, without those of its neighbours
@@ -79,16 +81,18 @@ def hilbert_index(cells: np.ndarray, bits: int) -> np.ndarray:
 
 
 class Curves:
-    """The fitted projections: for each curve a matrix, the cut points of each coordinate, and a shift."""
+    """The fitted projections: for each curve the rotation that gives the cells, a matrix, the cut points of each coordinate, and a shift."""
 
     def __init__(self, sample: np.ndarray, curves: int, coordinates: int, bits: int, directions: int, seed: int):
         rng = np.random.default_rng(seed)
-        self.bits, self.matrices, self.cuts = bits, [], []
+        self.bits, self.rotations, self.matrices, self.cuts = bits, [], [], []
         units = sample / np.maximum(np.linalg.norm(sample, axis=1, keepdims=True), 1e-30)
+        self.centre = units.mean(0).astype(np.float32)
         _, spread, axes = np.linalg.svd(units - units.mean(0), full_matrices=False)
         lead = min(directions, len(spread))
         coordinates = min(coordinates, lead)
         for _ in range(curves):
+            self.rotations.append(np.linalg.qr(rng.normal(size=(units.shape[1], units.shape[1])))[0].astype(np.float32))
             turn = np.linalg.qr(rng.normal(size=(lead, lead)))[0][:, :coordinates]
             matrix = axes[:lead].T @ turn
             values = units @ matrix
@@ -100,7 +104,10 @@ class Curves:
     def keys(self, units: np.ndarray, curve: int) -> np.ndarray:
         values = units @ self.matrices[curve]
         cells = np.stack([np.searchsorted(cut, values[:, d]) for d, cut in enumerate(self.cuts[curve])], axis=1)
-        return hilbert_index(cells, self.bits)
+        turned = (units - self.centre) @ self.rotations[curve]
+        axis = np.abs(turned).argmax(axis=1)
+        cell = 2 * axis + (turned[np.arange(len(turned)), axis] > 0)
+        return (cell << (cells.shape[1] * self.bits)) | hilbert_index(cells, self.bits)
 
 
 def _matrix(column: pa.Array) -> np.ndarray:

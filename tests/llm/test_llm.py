@@ -90,6 +90,21 @@ def test_recall_on_stored_vectors(spark):
     assert sum(len(got[i] & set(want[i])) for i in want) / sum(map(len, want.values())) >= 0.9
 
 
+def test_few_rows_of_many_hold_the_nearest():
+    rng = np.random.default_rng(4)
+    centres = np.repeat(rng.normal(size=(5000, 128)), 6, axis=0)  # all directions alike
+    units = centres + 0.33 * rng.normal(size=centres.shape)
+    units = (units / np.linalg.norm(units, axis=1, keepdims=True)).astype(np.float32)
+    fitted = nearest.Curves(units[::3].astype(np.float64), nearest.CURVES, nearest.COORDINATES, nearest.BITS, nearest.DIRECTIONS, 7)
+    met = np.zeros((len(units), 5), bool)
+    for c in range(nearest.CURVES):
+        at = np.empty(len(units), np.int64)
+        at[np.argsort(fitted.keys(units, c), kind="stable")] = np.arange(len(units))
+        at = at.reshape(-1, 6)
+        met |= np.concatenate([np.abs(at[:, [i]] - np.delete(at, i, 1)) for i in range(6)]) <= 16  # a two-thousandth of the rows
+    assert met.mean() >= 0.95
+
+
 def test_windows_are_whole_across_slices(spark, monkeypatch):
     monkeypatch.setattr(nearest, "BLOCK", 1)  # rows of a block share their windows
     rng = np.random.default_rng(3)
