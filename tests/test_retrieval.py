@@ -75,6 +75,29 @@ VECTORS = [(1, unit(1)), (2, unit(0.9, 0.4358899)), (3, unit(0.8, 0.6)), (4, uni
 SOURCES = [(1, 1), (2, 1), (3, 2), (4, 3)]
 
 
+def test_integration_candidates_of_tiles_and_repeated_rows(spark, monkeypatch):
+    monkeypatch.setattr(lexical, "TILE", 16)
+    words = [f"word{i}" for i in range(12)]
+    docs = [(i, None if i % 9 == 0 else f"{words[i % 12]} {words[i % 7]}", " ".join(words[j] for j in range(12) if i * (j + 3) % 5 < 2)) for i in range(90)]
+    asked = [(7, "word0 word3 word11 word0"), (8, "word1 unknown"), (9, "")]
+    schema = "note_id bigint, title string, body string"
+    # A row that stands twice counts once, in whatever tile.
+    got = lexical.integration_candidates(spark.createDataFrame(docs + docs[::3], schema), spark.createDataFrame(asked, "seed_id bigint, text string"), limit=5).collect()
+    cut = {i: f"{t or ''} {b}".split() for i, t, b in docs}
+    avgdl = sum(map(len, cut.values())) / len(cut)
+    want = set()
+    for seed, text in asked:
+        scores = {}
+        for term in set(text.split()):
+            df = sum(term in x for x in cut.values())
+            for i, x in cut.items():
+                if tf := x.count(term):
+                    scores[i] = scores.get(i, 0) + max(1e-6, math.log((len(cut) - df + 0.5) / (df + 0.5))) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(x) / avgdl))
+        best = sorted(scores, key=lambda i: (-round(scores[i], 9), i))[:5]
+        want |= {(seed, i, round(scores[i], 6), at) for at, i in enumerate(best, 1)}
+    assert {(r["seed_id"], r["note_id"], round(r["score"], 6), r["position"]) for r in got} == want and len(got) == len(want) == 10
+
+
 def test_mutual_links_leave_out_pages_of_one_source(spark):
     v = vectors.usable_vectors(spark.createDataFrame(VECTORS, "note_id bigint, vector array<float>"), "note_id", "vector", 8)
     s = spark.createDataFrame(SOURCES, "note_id bigint, source_id bigint")
