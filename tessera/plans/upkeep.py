@@ -8,7 +8,7 @@ from tessera.functions import notes_text as X
 from tessera.operators import lexical, maintenance
 from tessera.plans.knowledge import EV, FPS, PAIRS, ST, stored
 from tessera.plans.records import cut_sql, plain_sql
-from tessera.plans.retrieval import NS, N, V, note_sources, note_vectors, notes, seeds, sql_candidates
+from tessera.plans.retrieval import NS, N, V, note_rows, note_sources, note_vectors, notes, seeds, sql_candidates
 from tessera.sources.tables import table
 
 QUERIES: dict = {}
@@ -87,7 +87,7 @@ def j19_rebuilt_provenance(spark, sf_dir):
 
 @query(f"WITH {N}, {sql_candidates(8)}, r AS (SELECT seed_id, note_id, row_number() OVER (PARTITION BY seed_id ORDER BY round(score, 9) DESC, note_id) AS p FROM ic), f AS (SELECT note_id, min((seed_id, p)) AS o FROM r GROUP BY 1) SELECT note_id FROM f ORDER BY o, note_id LIMIT 40")
 def d9_candidate_pool(spark, sf_dir):
-    base = notes(spark, sf_dir)
+    base = note_rows(spark, sf_dir)
     return maintenance.candidate_pool(lexical.integration_candidates(base, seeds(base), limit=8)).select("note_id")
 
 
