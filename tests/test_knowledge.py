@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+import re
 from dataclasses import replace
 
 from pyspark.sql import functions as F
@@ -33,6 +34,31 @@ def test_strongest_duplicate_and_safeguards(spark):
     assert got == {100: ("contradict", 7), 101: ("merge", 8), 102: ("new", None)}
 
 
+def test_duplicates_of_tiles_and_repeated_rows(spark, monkeypatch):
+    monkeypatch.setattr(duplicates, "TILE", 16)
+    monkeypatch.setattr(duplicates, "CHUNK", 7)
+    rng = random.Random(2)
+    words = [f"word{i}" for i in range(40)]
+    rows = [(0, None, None), (1, "", ""), (2, "ab", "x")]
+    for i in range(3, 90):
+        body = rng.sample(words, 30) if i % 3 else rows[i - 1][2].split() + ["more"] if rows[i - 1][2] else ["x"]
+        rows.append((i, f"The {rng.choice(words)} of {rng.choice(words)} and {'others' if i % 2 else 'other'} than those", " ".join(body)))
+    frame = spark.createDataFrame(rows + rows[::4], "note_id bigint, title string, body string")
+    got = [tuple(r) for r in duplicates.duplicate_scores(frame.where("note_id % 2 = 0"), frame).collect()]
+    key = lambda t: " ".join(re.findall(r"\w+", (t or "").lower()))
+    grams = lambda k: {k[i : i + 3] for i in range(len(k) - 2)} if len(k) >= 3 else {k} - {""}
+    want = {}
+    for a, ta, ba in rows[::2]:
+        for b, tb, bb in rows:
+            g, h, x, y = grams(key(ta)), grams(key(tb)), set((ba or "").split()), set((bb or "").split())
+            dice, jaccard = (2 * len(g & h) / (len(g) + len(h)) if g and h else 0), (len(x & y) / len(x | y) if x and y else 0)
+            score = 4 if key(ta) == key(tb) else 3 + dice if dice >= 0.88 else 2 + jaccard if jaccard >= 0.88 else 0
+            if score and a != b:
+                want[a, b] = round(score, 9)
+    assert {(a, b): round(s, 9) for a, b, s in got} == want and len(got) == len(want)
+    assert {int(s) for s in want.values()} == {2, 3, 4}
+
+
 def test_close_rivals_are_no_duplicate(spark):
     existing = spark.createDataFrame([(1, "ward round checklist a", ""), (2, "ward round checklist b", "")], NOTE)
     new = spark.createDataFrame([(10, "ward round checklist c", "")], NOTE)
