@@ -2,6 +2,8 @@
 
 import math
 
+import numpy
+
 from tessera.operators import graph, hybrid, lexical, vectors
 
 NOTES = [
@@ -177,3 +179,16 @@ def test_question_context_is_seed_then_neighbour(spark):
 def test_seeded_draws_are_stable():
     assert graph.seeded_draws(3) == graph.seeded_draws(3)
     assert all(0 <= x < 1 for x in graph.seeded_draws(100, 5))
+
+
+def test_mutual_links_of_tiles_and_repeated_rows(spark):
+    rows = [(i, [float((i * (j + 3)) % 11 - 5) + 0.1 for j in range(4)]) for i in range(70)]
+    held = [(i, i % 9) for i in range(0, 70, 2)] + [(i, 100) for i in range(0, 70, 5)] + [(500, 1), (None, 1), (3, None)]
+    v = spark.createDataFrame(rows + rows[::3] + [(7, [9.0, 9.0, 9.0, 9.0])], "id bigint, v array<float>")
+    got = vectors.mutual_links(v, spark.createDataFrame(held, "note_id bigint, source_id bigint"), k=3, tile=16).collect()
+    unit = {i: [float(numpy.float32(a)) for a in x] for i, x in rows}
+    cosine = lambda x, y: round(sum(a * b for a, b in zip(x, y)) / math.hypot(*x) / math.hypot(*y), 12)
+    of = {i: {s for n, s in held if n == i and s is not None} for i in unit}
+    near = {i: [j for _, j in sorted((-cosine(unit[i], unit[j]), j) for j in unit if j != i and not of[i] & of[j] and cosine(unit[i], unit[j]) > 0)[:3]] for i in unit}
+    want = {(i, j) for i in near for j in near[i] if i < j and i in near[j]}
+    assert {(r["source_note_id"], r["target_note_id"]) for r in got} == want and len(got) == len(want) > 5
